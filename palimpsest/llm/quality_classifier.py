@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ MAX_TRAIN = 4_000
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 LENGTHS = (3, 4)
-EPOCHS = 6
+EPOCHS = 4
+#: Stands for a word that is the one before it again.
+SAME = "<same word>"
 #: Of a longer word, only the n-grams of so many bytes at either end count.
 LONG = 32
 
@@ -35,6 +38,10 @@ def subwords_of(b: bytes) -> list[int]:
     return [zlib.crc32(b[i : i + n]) & (BUCKETS - 1) for n in LENGTHS for i in range(len(b) - n + 1)]
 
 
+def with_repeats(words: list[str]) -> list[str]:
+    return [SAME if a == b else a for a, b in zip(words, ["", *words], strict=False)]
+
+
 class SubwordClassifier:
     """A document is the mean of its words' vectors, a word the mean of its buckets' vectors; then two softmax outputs."""
 
@@ -49,7 +56,7 @@ class SubwordClassifier:
         docs = []
         for t in texts:
             ids = []
-            for w in t.split():
+            for w in with_repeats(t.split()):
                 if w not in number:
                     number[w] = len(parts)
                     parts.append(subwords(w))
@@ -107,6 +114,8 @@ def _score(buckets: list[float], bias: float):
             z = []
             for text in batch.column(1).to_pylist():
                 words = text.split()
+                if any(map(eq, words, words[1:])):
+                    words = with_repeats(words)
                 z.append(bias + (sum(map(memory.__getitem__, words)) / len(words) if words else 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(np.array(z, "float64")), pa.float64())], ["doc_id", "score"])
 

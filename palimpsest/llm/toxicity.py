@@ -16,46 +16,47 @@ from .learning import Memory, held_out, sigmoid, training_sample
 
 #: Labelled texts learnt from, at most.
 MAX_TRAIN = 12_000
-#: Terms with weights, at most: those in the most training texts.
-MAX_TERMS = 30_000
-MIN_DF = 6
+#: Terms with weights, at most: those whose share of toxic texts is least like chance, by chi square.
+MAX_TERMS = 4096
+MIN_DF, MIN_CHI2 = 5, 12.0
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 10
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_=+~`/\\«»¿¡…"
 
 
-def term_hash(word: str) -> int:
-    """31-bit hash of a word without punctuation at its ends; -1 for none."""
+def term_hashes(word: str) -> tuple[int, ...]:
+    """31-bit hashes of a word's terms: itself without punctuation at its ends, and its first four and five letters."""
     word = word.strip(EDGES)
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF if word else -1
+    if not word:
+        return ()
+    return tuple({zlib.crc32(t.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF for t in (word, word[:4] + "+", word[:5] + "+")})
 
 
 class FactorizationMachine:
-    """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x_i = idf of a term that is there.
+    """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x_i = 1 for a term that is there.
 
     The sum over pairs is ((sum v_i x_i)^2 - sum (v_i x_i)^2) / 2, summed over factors, so a text costs its number of terms.
     """
 
-    def __init__(self, keys: np.ndarray, idf: np.ndarray, seed: int = 1):
-        order = np.argsort(keys)
-        self.keys, self.x = keys[order], idf[order].astype("float32")
+    def __init__(self, keys: np.ndarray, seed: int = 1):
+        self.keys = np.sort(keys)
         self.w0, self.w = 0.0, np.zeros(len(keys), "float32")
         self.v = (np.random.default_rng(seed).standard_normal((len(keys), FACTORS)) * 0.02).astype("float32")
 
     def logits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """``flat``: term numbers of the texts one after the other; ``ends``: where each text's end."""
         starts = np.concatenate(([0], ends[:-1]))
-        x = self.x[flat]
-        vx = self.v[flat] * x[:, None]
-        each = np.concatenate((self.w[flat][:, None] * x[:, None], vx, vx * vx), axis=1, dtype="float64")
+        v = self.v[flat]
+        each = np.concatenate((self.w[flat][:, None], v, v * v), axis=1, dtype="float64")
         # A running sum with differences also serves texts without terms.
         total = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)))
         s = total[ends] - total[starts]
         return self.w0 + s[:, 0] + 0.5 * (s[:, 1 : 1 + FACTORS] ** 2 - s[:, 1 + FACTORS :]).sum(axis=1)
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.08, decay: float = 2e-4, seed: int = 2) -> FactorizationMachine:
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.04, decay: float = 1e-4, seed: int = 2) -> FactorizationMachine:
+        """Stochastic gradient descent on the logistic loss, with a step for each weight that shrinks with its gradients."""
         rng = np.random.default_rng(seed)
-        gw, gv, g0 = np.full(len(self.w), 1e-2, "float32"), np.full(self.v.shape, 1e-2, "float32"), 1e-2
+        gw, gv, g0 = np.full(len(self.w), 1e-5, "float32"), np.full(len(self.w), 1e-5, "float32"), 1e-2
         self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else 0.0
         for _ in range(epochs if len(y) else 0):
             order = rng.permutation(len(texts))
@@ -63,48 +64,55 @@ class FactorizationMachine:
                 some = order[at : at + 128]
                 sizes = np.array([len(texts[i]) for i in some])
                 flat, doc = np.concatenate([texts[i] for i in some]), np.repeat(np.arange(len(some)), sizes)
-                err = (sigmoid(self.logits(flat, np.cumsum(sizes))) - y[some]).astype("float32") / len(some)
-                x, v = self.x[flat], self.v[flat]
-                sums = np.zeros((len(some), FACTORS), "float32")
-                np.add.at(sums, doc, v * x[:, None])
-                e = err[doc] * x
+                v = self.v[flat]
+                sums = np.stack([np.bincount(doc, v[:, f], len(some)) for f in range(FACTORS)], axis=1)
+                linear = np.bincount(doc, self.w[flat], len(some))
+                z = self.w0 + linear + 0.5 * ((sums**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), len(some)))
+                err = (sigmoid(z) - y[some]) / len(some)
+                e = err[doc].astype("float32")
                 terms, back = np.unique(flat, return_inverse=True)
                 dw = np.bincount(back, e, len(terms)) + decay * self.w[terms]
-                each = e[:, None] * (sums[doc] - v * x[:, None])
+                each = e[:, None] * (sums[doc] - v)
                 dv = np.stack([np.bincount(back, each[:, f], len(terms)) for f in range(FACTORS)], axis=1) + decay * self.v[terms]
                 gw[terms] += dw**2
-                gv[terms] += dv**2
+                gv[terms] += (dv**2).mean(axis=1)
                 g0 += float(err.sum()) ** 2
                 self.w[terms] -= rate * dw / np.sqrt(gw[terms])
-                self.v[terms] -= rate * dv / np.sqrt(gv[terms])
+                self.v[terms] -= 0.2 * rate * dv / np.sqrt(gv[terms])[:, None]
                 self.w0 -= rate * float(err.sum()) / g0**0.5
         return self
 
     def number(self, h: int) -> int:
+        """Place of a term among those with weights, or -1."""
         i = int(np.searchsorted(self.keys, h))
         return i if i < len(self.keys) and self.keys[i] == h else -1
 
+    def numbers(self, word: str) -> tuple[int, ...]:
+        return tuple(i for i in map(self.number, term_hashes(word)) if i >= 0)
+
 
 def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
-    hashed = Memory(term_hash)
-    terms = [{h for h in map(hashed.__getitem__, set(t.lower().split())) if h >= 0} for t in texts]
-    df = Counter(h for t in terms for h in t)
-    keys = sorted((h for h, n in df.items() if n >= MIN_DF), key=lambda h: (-df[h], h))[:MAX_TERMS]
-    idf = np.array([np.log(len(texts) / df[h]) / np.log(max(len(texts), 2)) for h in keys])
-    fm = FactorizationMachine(np.array(keys, "int64"), idf)
+    hashed = Memory(term_hashes)
+    terms = [set().union(*map(hashed.__getitem__, set(t.lower().split()))) for t in texts]
+    df, toxic = Counter(h for t in terms for h in t), Counter(h for t, label in zip(terms, y, strict=True) if label for h in t)
+    some = sorted(h for h, n in df.items() if n >= MIN_DF)
+    n, n1 = np.array([df[h] for h in some], "float64"), np.array([toxic[h] for h in some], "float64")
+    share = y.mean() if len(y) else 0.0
+    told = (n1 - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9) / np.maximum(1 - n / max(len(y), 1), 1e-3)
+    best = [i for i in np.argsort(-told, kind="stable")[:MAX_TERMS].tolist() if told[i] >= MIN_CHI2]
+    fm = FactorizationMachine(np.array([some[i] for i in best], "int64"))
     numbers = {int(k): i for i, k in enumerate(fm.keys)}
     return fm.fit([np.array(sorted(numbers[h] for h in t if h in numbers), "int64") for t in terms], y)
 
 
 def _score(fm: FactorizationMachine):
-    memory = Memory(lambda word: fm.number(term_hash(word)))
+    memory = Memory(fm.numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = [], []
             for text in batch.column(1).to_pylist():
-                found = set(map(memory.__getitem__, set(text.lower().split())))
-                found.discard(-1)
+                found = set().union(*map(memory.__getitem__, set(text.lower().split())))
                 flat.extend(sorted(found))
                 ends.append(len(flat))
             scores = sigmoid(fm.logits(np.array(flat, "int64"), np.array(ends, "int64")))
@@ -117,8 +125,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_tra
     """(doc_id, held_out, score, predicted): one row per row of ``docs``; only its text is scored.
 
     Learns from at most ``max_train`` labelled texts out of held-out folds (`training_sample`).  Terms are a text's distinct words,
-    lower case and without punctuation at their ends, hashed to 31 bits; those in fewer than `MIN_DF` training texts have no
-    weight.  A null or empty text has no terms and gets the base rate; without labels all scores are 0.5; null or repeated
+    lower case and without punctuation at their ends, and their beginnings, hashed to 31 bits; those in few training texts, or as often in
+    toxic ones as chance has it, have no weight.  A null or empty text has no terms and gets the base rate; without labels all scores are 0.5; null or repeated
     ids stay; an empty table gives an empty one; further columns are ignored.
     """
     byte_batches(docs.sparkSession)
