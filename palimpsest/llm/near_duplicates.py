@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +22,11 @@ COORDINATES = 128
 #: Rounds with one pivot a bucket, before what is left of a bucket is paired up between classes.
 PIVOT_ROUNDS = 8
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _P = np.uint64(0x100000001B3)
 
 
-def _word_hash(word: str) -> int:
-    b = word.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(b) << 32) | zlib.crc32(b[::-1], 0x5BD1E995)
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
 class Shingler:
@@ -43,7 +40,8 @@ class Shingler:
         self.n, self.by_count, self.words = n, by_count, Memory(_word_hash)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        keys = [w for w in (text or "").translate(_SPACES).lower().split(" ") if w] if (text or "").isascii() else [w for w in (text or "").translate(_SPACES).translate(_LOWER).split(" ") if w]
+        # Of bytes, lower() changes A-Z only, and split() knows the six white space characters only.
+        keys = (text or "").encode().lower().split()
         w = mix(np.fromiter(map(self.words.__getitem__, keys), "uint64", len(keys)))
         n = min(self.n, len(w))
         if not n:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import lm_scoring, mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ FROM o
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_personal_data": op4_personal_data,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
