@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import byte_batches, narrow
 from .learning import Memory, held_out, sigmoid, training_sample
@@ -105,18 +106,26 @@ def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
     return fm.fit([np.array(sorted(numbers[h] for h in t if h in numbers), "int64") for t in terms], y)
 
 
-def _score(fm: FactorizationMachine):
+def _scorer(fm: FactorizationMachine):
+    """Scores of a list of texts."""
     memory = Memory(fm.numbers)
 
+    def score(texts: list[str]) -> np.ndarray:
+        flat, ends = [], []
+        for text in texts:
+            flat.extend(sorted(set().union(*map(memory.__getitem__, set(text.lower().split())))))
+            ends.append(len(flat))
+        return sigmoid(fm.logits(np.array(flat, "int64"), np.array(ends, "int64")))
+
+    return score
+
+
+def _score(fm: FactorizationMachine):
+    score = _scorer(fm)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = [], []
-            for text in batch.column(1).to_pylist():
-                found = set().union(*map(memory.__getitem__, set(text.lower().split())))
-                flat.extend(sorted(found))
-                ends.append(len(flat))
-            scores = sigmoid(fm.logits(np.array(flat, "int64"), np.array(ends, "int64")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -134,3 +143,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_tra
     rows = narrow(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scored = rows.mapInArrow(_score(fm), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows and all columns of ``docs`` whose text scores under ``threshold``, in one scan; training and cases as of `toxicity`."""
+    byte_batches(docs.sparkSession)
+    names = docs.columns
+    at, score = names.index("text"), _scorer(train(*training_sample(docs, labels, "toxic", max_train)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score([t or "" for t in batch.column(at).to_pylist()]) < threshold))
+
+    numbered = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    return numbered.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in numbered.schema.fields])).toDF(*names)
