@@ -10,11 +10,11 @@ from .pii_rules import KINDS, luhn
 
 #: Characters told apart: ASCII, and one class for all else; the last is padding.
 CLASSES = 130
-HIDDEN = 20
+HIDDEN = 18
 #: Labels: none, then for each kind its first and its further characters.
 LABELS = 1 + 2 * len(KINDS)
 WINDOW = 96
-TRAIN_WINDOWS, EPOCHS, BATCH = 2400, 9, 30
+TRAIN_WINDOWS, TRAIN_LENGTH, EPOCHS, BATCH = 2400, 64, 9, 30
 
 
 def encode(text: str) -> np.ndarray:
@@ -211,7 +211,7 @@ def labelled(n: int = TRAIN_WINDOWS, seed: int = 8) -> tuple[np.ndarray, np.ndar
     """Windows with labelled spans among invented words, some spans side by side and cut by a window's edge."""
     rng = np.random.default_rng(seed)
     makers = (_email, _ip, _card, _phone)
-    x, y = np.full((n, WINDOW), CLASSES - 1), np.zeros((n, WINDOW), "int64")
+    x, y = np.full((n, TRAIN_LENGTH), CLASSES - 1), np.zeros((n, TRAIN_LENGTH), "int64")
     for row in range(n):
         text, labels = "", []
 
@@ -221,7 +221,7 @@ def labelled(n: int = TRAIN_WINDOWS, seed: int = 8) -> tuple[np.ndarray, np.ndar
             labels.extend([0] * len(s) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1))
 
         upper = rng.random() < 0.15
-        while len(text) < WINDOW + 30:
+        while len(text) < TRAIN_LENGTH + 30:
             pick = rng.random()
             if pick < 0.3:
                 k = int(rng.integers(0, 4))
@@ -237,7 +237,7 @@ def labelled(n: int = TRAIN_WINDOWS, seed: int = 8) -> tuple[np.ndarray, np.ndar
                     put((w.upper() if upper else w) + rng.choice(["", "", ",", ".", "!!", "###", "***", " |"]) + " ")
             put(str(rng.choice([" ", " ", ", ", ". ", "\n", "### ", ") "])))
         at = int(rng.integers(0, 30))
-        size = WINDOW if rng.random() < 0.7 else int(rng.integers(20, WINDOW))
+        size = TRAIN_LENGTH if rng.random() < 0.7 else int(rng.integers(16, TRAIN_LENGTH))
         x[row, :size] = encode(text[at : at + size])
         y[row, :size] = labels[at : at + size]
         for k in range(len(KINDS)):
