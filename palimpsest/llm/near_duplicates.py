@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import byte_batches, durable, narrow
 from .dart_minhash import mix, signature
-from .learning import Memory
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -20,15 +19,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = 128
 #: Rounds with one pivot a bucket, before what is left of a bucket is paired up between classes.
-PIVOT_ROUNDS = 8
+PIVOT_ROUNDS = 1
 
 _P = np.uint64(0x100000001B3)
 
 
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
 class Shingler:
     """Distinct hashes of a text's windows of five words, sorted, with weights.
 
@@ -37,12 +32,12 @@ class Shingler:
     """
 
     def __init__(self, n: int = SHINGLE, by_count: bool = False):
-        self.n, self.by_count, self.words = n, by_count, Memory(_word_hash)
+        self.n, self.by_count = n, by_count
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         # Of bytes, lower() changes A-Z only, and split() knows the six white space characters only.
         keys = (text or "").encode().lower().split()
-        w = mix(np.fromiter(map(self.words.__getitem__, keys), "uint64", len(keys)))
+        w = mix(np.fromiter(map(xxhash.xxh64_intdigest, keys), "uint64", len(keys)))
         n = min(self.n, len(w))
         if not n:
             return w, np.empty(0)
@@ -172,7 +167,7 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, similarity: fl
     """(node, label) of the nodes with links; None if there are none."""
     buckets = signed.select("node", F.posexplode("bands").alias("band", "h")).groupBy("band", "h", "node").agg(F.lit(1).alias("one"))
     shared = buckets.groupBy("band", "h").agg(F.count("*").alias("k")).filter("k > 1").select("band", "h")
-    members = durable(buckets.join(shared, ["band", "h"]).join(nodes.select("node", "n"), "node").select(F.xxhash64("band", "h").alias("bucket"), "node", "n"), "members")
+    members = durable(buckets.join(shared, ["band", "h"]).join(nodes.select("node", "n"), "node").select(F.xxhash64("band", "h").alias("bucket"), "band", "node", "n"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
     texts = rows.join(wanted.select("doc_id").distinct().withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi").select("text")
     sets = durable(texts.mapInArrow(_shingle_sets(shingle, by_count), "node long, elements array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
@@ -182,13 +177,23 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, similarity: fl
         at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max(F.struct("label", "node", "n")).alias("p")).filter("lo < p.label").select("bucket", "p")
         if round_ < PIVOT_ROUNDS:
-            at = durable(at.join(mixed, "bucket").select("bucket", "node", "n", "label", "p"), "mixed")
+            at = durable(at.join(mixed, "bucket").select("bucket", "band", "node", "n", "label", "p"), "mixed")
             pairs = at.filter("label != p.label").select(F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
-            members = at.filter("node != p.node").select("bucket", "node", "n")
+            members = at.filter("node != p.node").select("bucket", "band", "node", "n")
         else:
-            at = durable(at.join(mixed.select("bucket"), "bucket").select("bucket", "node", "n", "label"), "mixed")
-            other = at.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-            pairs = at.join(other, "bucket").filter("node < x AND label != lx").select("x", "nx", F.col("node").alias("y"), F.col("n").alias("ny"))
+            at = at.join(mixed.select("bucket"), "bucket").select("bucket", "band", "node", "n", "label")
+            bands = signed.join(at.select("node").distinct(), "node").groupBy("node").agg(F.first("bands").alias("bands"))
+            at = durable(at.join(bands, "node").join(sets, "node"), "mixed")
+            names = {"node": "x", "n": "nx", "label": "lx", "bands": "bx", "elements": "ex"}
+            other = at.select("bucket", *[F.col(c).alias(x) for c, x in names.items()])
+            # Pairs that share several bands come from the first one only.  The check is part of the join, so that only links leave it.
+            first = F.array_position(F.zip_with("bands", "bx", lambda a, b: a == b), True) == F.col("band") + 1
+            close = F.least("n", "nx") >= similarity * F.greatest("n", "nx")
+            common = F.size(F.array_intersect("elements", "ex"))
+            linked = common >= similarity * (F.col("n") + F.col("nx") - common)
+            found = at.join(other, (at["bucket"] == other["bucket"]) & (F.col("node") < F.col("x")) & (F.col("label") != F.col("lx")) & close & first & linked)
+            links = durable(found.select(F.col("node").alias("a"), F.col("x").alias("b")), "links")
+            return _relabelled(labels, links) if links.limit(1).count() else labels
         if at.limit(1).count() == 0:
             break
         # Sets whose sizes differ by more can't be that similar.
