@@ -10,11 +10,11 @@ from .pii_rules import KINDS, luhn
 
 #: Characters told apart: ASCII, and one class for all else; the last is padding.
 CLASSES = 130
-HIDDEN = 18
+HIDDEN = 20
 #: Labels: none, then for each kind its first and its further characters.
 LABELS = 1 + 2 * len(KINDS)
 WINDOW = 96
-TRAIN_WINDOWS, TRAIN_LENGTH, EPOCHS, BATCH = 2400, 64, 9, 30
+TRAIN_WINDOWS, TRAIN_LENGTH, EPOCHS, BATCH = 2800, 80, 9, 30
 
 
 def encode(text: str) -> np.ndarray:
