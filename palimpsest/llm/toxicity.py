@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,16 +93,23 @@ class FactorizationMachine:
 
 def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
     hashed = Memory(term_hashes)
-    terms = [set().union(*map(hashed.__getitem__, set(t.lower().split()))) for t in texts]
-    df, toxic = Counter(h for t in terms for h in t), Counter(h for t, label in zip(terms, y, strict=True) if label for h in t)
-    some = sorted(h for h, n in df.items() if n >= MIN_DF)
-    n, n1 = np.array([df[h] for h in some], "float64"), np.array([toxic[h] for h in some], "float64")
+    # Flat arrays: as Python sets, the terms of all training texts would fill the driver's memory.
+    terms = [np.fromiter(found, "int32", len(found)) for found in (set().union(*map(hashed.__getitem__, set(t.lower().split()))) for t in texts)]
+    sizes = np.array([len(x) for x in terms], "int64")
+    some, place, n = np.unique(np.concatenate([np.empty(0, "int32"), *terms]), return_inverse=True, return_counts=True)
+    n1 = np.bincount(place, np.repeat(y, sizes), len(some))
     share = y.mean() if len(y) else 0.0
     told = (n1 - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9) / np.maximum(1 - n / max(len(y), 1), 1e-3)
+    told = np.where(n >= MIN_DF, told, 0)
     best = [i for i in np.argsort(-told, kind="stable")[:MAX_TERMS].tolist() if told[i] >= MIN_CHI2]
-    fm = FactorizationMachine(np.array([some[i] for i in best], "int64"))
-    numbers = {int(k): i for i, k in enumerate(fm.keys)}
-    return fm.fit([np.array(sorted(numbers[h] for h in t if h in numbers), "int64") for t in terms], y)
+    fm = FactorizationMachine(some[best].astype("int64"))
+    number = np.full(len(some), -1)
+    number[np.sort(best).astype("int64")] = np.arange(len(best))
+    numbers, doc = number[place], np.repeat(np.arange(len(texts)), sizes)
+    with_weight = numbers >= 0
+    ends = np.searchsorted(doc[with_weight], np.arange(len(texts) + 1))
+    kept = numbers[with_weight]
+    return fm.fit([np.sort(kept[a:b]) for a, b in zip(ends, ends[1:], strict=False)], y)
 
 
 def _scorer(fm: FactorizationMachine):
