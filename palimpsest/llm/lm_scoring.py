@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, byte_batches, durable, narrow, words_of
-from .learning import Memory
 
 #: At most so many words are frequent: those with at least this share of the training tokens.
 FREQUENT = 1000
 #: Folds by crc32 of the id: 0 is held out, 1 is deleted (for the weights), the rest and 1 give the counts.
 FOLDS = 10
 #: Bytes of text whose rare occurrences are packed together, and occurrences a shard is meant to have.
-PACK_BYTES, SHARD_ROWS = 24 << 20, 1_500_000
+PACK_BYTES, SHARD_ROWS = 6 << 20, 500_000
 #: Cells a decade of the grid on which the weights are learnt.
 GRID = 8
 ITERATIONS = 40
 END = b""
+_HASH = partial(xxhash.xxh64_intdigest, seed=42)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """The 64-bit hashes that Spark's xxhash64 gives."""
+    return np.fromiter(map(_HASH, words), "uint64", len(words)).view("int64")
 
 
 def word_hash(word: bytes) -> int:
-    """The 64-bit hash that Spark's xxhash64 gives."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+    return int(hashes_of([word])[0])
 
 
 def fold_of(doc_id):
@@ -61,11 +65,11 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, h), self.f - 1)
         return np.where(self.keys[at] == h, at, -1)
 
-    def tokens(self, memory: Memory, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, place, context) of a text's tokens; of bytes, lower() changes A-Z only and split() knows six white space characters."""
         words = text.encode().lower().split()
         words.append(END)
-        h = np.fromiter(map(memory.__getitem__, words), "int64", len(words))
+        h = hashes_of(words)
         place = self.numbers(h)
         context = np.empty(len(h), "int64")
         context[0] = self.f + 1
@@ -145,14 +149,14 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     role, keys = np.frombuffer(take(m), "uint8"), np.frombuffer(take(8 * m), "int64")
     with np.errstate(over="ignore"):
         h = np.cumsum(steps, dtype="uint64").view("int64")
-    return keys[doc], h, context.astype("int64"), times.astype("int64"), role[doc]
+    return keys[doc], h, context, times, role[doc]
 
 
 def _pack_rows(model: Model, shards: int):
     """Rows (shard, blob): the rare occurrences of many texts by shard; as shard -1, the counts of frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, f = Memory(word_hash), model.f
+        f = model.f
         pairs: dict[int, np.ndarray] = {}
         parts: list[tuple] = []
         docs: list[tuple[int, int]] = []
@@ -175,7 +179,7 @@ def _pack_rows(model: Model, shards: int):
 
         for batch in batches:
             for key, fold, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                h, place, context = model.tokens(memory, text)
+                h, place, context = model.tokens(text)
                 role = 0 if fold == 0 else 1 if fold == 1 else 2
                 common = place >= 0
                 if role:
@@ -192,7 +196,7 @@ def _pack_rows(model: Model, shards: int):
                 n = np.diff(np.append(new, len(h)))
                 # Counts are bytes: more than 255 go in several rows.
                 while len(new):
-                    parts.append((np.full(len(new), len(docs)), h[new], context[new], np.minimum(n, 255)))
+                    parts.append((np.full(len(new), len(docs), "uint32"), h[new], context[new].astype("uint16"), np.minimum(n, 255).astype("uint8")))
                     new, n = new[n > 255], n[n > 255] - 255
                 docs.append((key, role))
                 held += len(text)
@@ -222,8 +226,9 @@ def _shard(table: pa.Table, kept_only: bool) -> tuple[np.ndarray, ...]:
     order = np.lexsort((context, h))
     key, h, context, times, role = (x[order] for x in (key, h, context, times, role))
     counted = np.where(role == 2 if kept_only else role > 0, times, 0)
-    word = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]).astype("int64")))) if len(h) else h
-    pair = np.cumsum(np.concatenate(([0], ((h[1:] != h[:-1]) | (context[1:] != context[:-1])).astype("int64")))) if len(h) else h
+    new = h[1:] != h[:-1]
+    word = np.cumsum(np.concatenate(([False], new)), dtype="int32")
+    pair = np.cumsum(np.concatenate(([False], new | (context[1:] != context[:-1]))), dtype="int32")
     return key, context, times, role, np.bincount(pair, counted).astype("int64")[pair], np.bincount(word, counted).astype("int64")[word]
 
 
@@ -251,11 +256,10 @@ def _common_scores(model: Model, id_type: pa.DataType):
     """What each text's frequent words give, where all that is needed is at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(word_hash)
         for batch in batches:
             out = []
             for text in batch.column(3).to_pylist():
-                h, place, context = model.tokens(memory, text)
+                h, place, context = model.tokens(text)
                 common = place >= 0
                 place, context = place[common], context[common]
                 p = model.probability(context, model.pairs[context * model.f + place] if model.f else context, model.count[place] if model.f else context)
