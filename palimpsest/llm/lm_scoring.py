@@ -20,14 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, byte_batches, durable, narrow, words_of
+from .common import ascii_lower, byte_batches, durable, narrow, release, words_of
 
 #: At most so many words are frequent: those with at least this share of the training tokens.
 FREQUENT = 1000
 #: Folds by crc32 of the id: 0 is held out, 1 is deleted (for the weights), the rest and 1 give the counts.
 FOLDS = 10
 #: Bytes of text whose rare occurrences are packed together, and occurrences a shard is meant to have.
-PACK_BYTES, SHARD_ROWS = 6 << 20, 500_000
+PACK_BYTES, SHARD_ROWS = 10 << 20, 800_000
 #: Cells a decade of the grid on which the weights are learnt.
 GRID = 8
 ITERATIONS = 40
@@ -321,6 +321,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             grid[k] = [a + b for a, b in zip(grid.get(k, [0.0] * 3), x, strict=True)]
     model.weights = learn_weights(grid, FREQUENT.bit_length() + 3, v)
 
+    release(spark)
     mine = durable(rows.mapInArrow(_common_scores(model, to_arrow_type(id_type)), f"k long, doc_id {id_type.simpleString()}, fold int, n_tokens long, known long, base double, score double"), "common")
     others = rare.groupBy("shard").applyInArrow(_shard_scores(model), "k long, known long, base double, score double").groupBy("k").agg(F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), F.sum("score").alias("r_score"))
     # Rows equal in id and text added up to one sum.
