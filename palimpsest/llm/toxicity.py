@@ -21,6 +21,8 @@ MAX_TERMS = 4096
 MIN_DF, MIN_CHI2 = 5, 12.0
 FACTORS = 8
 EPOCHS = 10
+#: Few texts are gone through more often: for so many steps at least.
+MIN_STEPS, BATCH = 900, 128
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_=+~`/\\«»¿¡…"
 
 
@@ -58,10 +60,10 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         gw, gv, g0 = np.full(len(self.w), 1e-5, "float32"), np.full(len(self.w), 1e-5, "float32"), 1e-2
         self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else 0.0
-        for _ in range(epochs if len(y) else 0):
+        for _ in range(max(epochs, -(-MIN_STEPS // -(-len(texts) // BATCH))) if len(y) else 0):
             order = rng.permutation(len(texts))
-            for at in range(0, len(order), 128):
-                some = order[at : at + 128]
+            for at in range(0, len(order), BATCH):
+                some = order[at : at + BATCH]
                 sizes = np.array([len(texts[i]) for i in some])
                 flat, doc = np.concatenate([texts[i] for i in some]), np.repeat(np.arange(len(some)), sizes)
                 v = self.v[flat]
