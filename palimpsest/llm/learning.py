@@ -38,14 +38,14 @@ def sigmoid(x):
 
 
 class Memory(dict):
-    """word -> value, computed at first sight; at most `REMEMBERED` words stay."""
+    """word -> value, computed at first sight; at most ``limit`` words stay."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, limit: int = REMEMBERED):
         super().__init__()
-        self.compute = compute
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, word: str):
         out = self.compute(word)
-        if len(self) < REMEMBERED and len(word) < 48:
+        if len(self) < self.limit and len(word) < 48:
             self[word] = out
         return out

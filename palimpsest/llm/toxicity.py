@@ -94,7 +94,7 @@ class FactorizationMachine:
 
 
 def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
-    hashed = Memory(term_hashes)
+    hashed = Memory(term_hashes, 50_000)
     # Flat arrays: as Python sets, the terms of all training texts would fill the driver's memory.
     terms = [np.fromiter(found, "int32", len(found)) for found in (set().union(*map(hashed.__getitem__, set(t.lower().split()))) for t in texts)]
     sizes = np.array([len(x) for x in terms], "int64")
