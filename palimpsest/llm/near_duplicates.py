@@ -127,16 +127,17 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, by_count: bool = False) -> DataFrame:
-    """(doc_id, t, node, n_shingles, class_id, class_size): one row per row of ``docs``; t is a hash of its text.
+    """(doc_id, t, node, n_shingles, class_id, class_size, label): one row per row of ``docs``; t is a hash of its text.
 
     Documents whose sets of shingles agree are one node.  Nodes that share a band of their DartMinHash signatures are
     checked exactly (Jaccard similarity of the sets, or with ``by_count`` the weighted one) and the classes are the
     components of the links.  In a bucket, one pivot a round is compared with all nodes of other classes and then leaves it;
     a bucket ends when one class is left in it.  So a group of m copies costs about m pairs and no link between texts of
     different classes is left out.  After `PIVOT_ROUNDS` rounds, the pairs between classes of the buckets still mixed are all compared.
-    class_id is the least doc_id of the class.
+    class_id is the least doc_id of the class; where ids are null or repeat, classes may have it in common.  label tells all
+    classes of texts with words apart: it is the least node of the class.
 
-    A null text is empty; texts without words have no shingles, each is its own class (node null, class_id its doc_id).  Null
+    A null text is empty; texts without words have no shingles, each is its own class (node and label null, class_id its doc_id).  Null
     ids stay and count for class_id only where a class has no other; rows that repeat fall into one class; an empty
     table gives an empty one; further columns are ignored.
     """
@@ -155,11 +156,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     if labels is not None:
         labels = nodes.join(labels, "node", "left").select("node", "least", "copies", F.coalesce("label", "node").alias("label"))
         of = labels.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-        of = labels.join(of, "label").select("node", "class_id", "class_size")
+        of = labels.join(of, "label").select("node", "label", "class_id", "class_size")
     else:
-        of = nodes.select("node", F.col("least").alias("class_id"), F.col("copies").alias("class_size"))
+        of = nodes.select("node", F.col("node").alias("label"), F.col("least").alias("class_id"), F.col("copies").alias("class_size"))
     return signed.join(of, "node", "left").select(
-        "doc_id", "t", "node", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
+        "doc_id", "t", "node", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "label"
     )
 
 
@@ -218,7 +219,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = found.filter("node IS NULL").select("doc_id", "t").distinct().withColumn("m", F.lit(0).cast("long"))
     least = found.filter("node IS NOT NULL AND doc_id <=> class_id")
     # Rows that repeat an id may be several; of those, one text, and of that, one row.
-    kept = least.groupBy("class_id").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.count("*").alias("m")).select("x.doc_id", "x.t", "m")
+    # By label, as classes of null or repeated ids have their class_id in common.
+    kept = least.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.count("*").alias("m")).select("x.doc_id", "x.t", "m")
     kept = kept.unionByName(alone).withColumnsRenamed({"doc_id": "__id", "t": "__t", "m": "__m"})
     numbered = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     i, t = F.col(f"__c{names.index(id_col)}"), F.col(f"__c{names.index(text_col)}")

@@ -60,7 +60,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_shingles")
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_shingles", "label")
 
 
 OP1_SQL = rf"""

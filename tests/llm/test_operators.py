@@ -363,3 +363,12 @@ def test_one_of_each_class_stays(odd, none):
     kept = near_duplicates.one_of_each(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "None", "3", "4", "5", "6", "8"])
     assert near_duplicates.one_of_each(none).count() == 0 and isinstance(kept.schema, T.StructType)
+
+
+def test_classes_of_null_or_repeated_ids_stay_apart(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(20))
+    rows = [*((None, text(k)) for k in "abc"), (7, text("d")), (7, text("e")), (None, text("f")), (None, text("f") + " more"), (None, text("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(r.text[0] for r in near_duplicates.one_of_each(df).collect())
+    assert kept == Counter("abcdef")
+    assert near_duplicates.classes(df).select("label").distinct().count() == 6
