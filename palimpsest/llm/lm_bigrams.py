@@ -1,0 +1,345 @@
+"""LM scoring (3) with every word as a context: deleted interpolation, weights by context-frequency buckets learnt with EM.
+
+Pairs of frequent words (at least 1 / `FREQUENT` of the training tokens, so at most `FREQUENT` words) are counted where they
+are read.  Every other occurrence of a pair goes to the shard of its rare word, of the second one if both are rare: all
+occurrences of the pair meet there, and so do all of the rare word, which gives its count.  What a shard lacks is
+the count of a rare first word before a rare second one; it asks the shards of the words' counts for these.  A word that
+decides about a shard is rare, so no shard is hot; nothing is cut off and no table of all words goes anywhere.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import ascii_lower, byte_batches, durable, narrow, release, words_of
+from .lm_scoring import END, FREQUENT, _pair_rows, cells, fold_of, hashes_of, learn_weights, word_hash
+
+#: Bytes of text packed together, and tokens a shard is meant to stand for.
+PACK_BYTES, SHARD_ROWS = 5 << 20, 400_000
+#: Buckets: the binary order of a context's share, then the start of a text, then contexts never seen.
+ORDERS = 48
+START, UNSEEN = ORDERS, ORDERS + 1
+#: Codes of a packed occurrence: up to `SECOND` the place of a frequent first word; from there that of a frequent second one; or none.
+SECOND, BOTH = 1 << 15, (1 << 16) - 1
+
+
+class Model:
+    """Counts that every executor has, and the weights.  Contexts with a place: 0 to f-1 frequent words, f a text's start."""
+
+    def __init__(self, frequent: list[tuple[int, int, int]], n: int, v: int, kept_n: int, texts: int, kept_texts: int):
+        frequent = sorted(frequent)
+        self.keys = np.array([h for h, _, _ in frequent], "int64")
+        self.count, self.kept_count = (np.array([r[i] for r in frequent], "int64") for i in (1, 2))
+        self.f, self.n, self.v, self.kept_n = len(frequent), n, v, kept_n
+        # Every word is followed by a token, so a context is as frequent as its word; the end is no context.
+        self.context, self.kept_context = np.append(self.count, texts), np.append(self.kept_count, kept_texts)
+        self.pairs = self.weights = None
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Places among the frequent words; -1 for others."""
+        if not self.f:
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), self.f - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, its place, second word, its place) of a text's pairs, from the start (place f, hash 0) to the end."""
+        words = text.encode().lower().split()
+        words.append(END)
+        h = hashes_of(words)
+        place = self.places(h)
+        return np.concatenate(([0], h[:-1])), np.concatenate(([self.f], place[:-1])), h, place
+
+    def buckets(self, context: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        b = np.clip(np.floor(-np.log2(np.maximum(context, 1) / max(n, 1))), 0, ORDERS - 1).astype("int64")
+        return np.where(start, START, np.where(context > 0, b, UNSEEN))
+
+    def probability(self, context: np.ndarray, start: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        w = self.weights[self.buckets(context, start, self.n)]
+        return w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(self.n, 1) + w[:, 2] / (self.v + 1)
+
+    def base(self, word: np.ndarray) -> np.ndarray:
+        return np.log10((word + 0.1) / (self.n + 0.1 * (self.v + 1)))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.view("uint8").reshape(len(x), -1).T.tobytes()
+
+
+def _unplaned(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "uint8").reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Sorted hashes as differences."""
+    return _planes(np.diff(h.view("uint64"), prepend=np.uint64(0)))
+
+
+def _unstepped(raw: bytes, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(_unplaned(raw, "uint64", n), dtype="uint64").view("int64")
+
+
+def _squeezed(head: tuple[int, ...], parts: list[bytes]) -> bytes:
+    return struct.pack(f"<{len(head)}I", *head) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _opened(blob: bytes, heads: int, sizes) -> tuple[tuple[int, ...], list[bytes]]:
+    head = struct.unpack_from(f"<{heads}I", blob)
+    raw, out, at = zstandard.ZstdDecompressor().decompress(blob[4 * heads :]), [], 0
+    for size in sizes(*head):
+        out.append(raw[at : at + size])
+        at += size
+    return head, out
+
+
+def pack(doc, key, code, other, times, role, keys) -> bytes:
+    """Occurrences in the order of their rare word's hash; ``other``: the first word's hash where both are rare."""
+    order = np.argsort(key.view("uint64"), kind="stable")
+    used, doc = np.unique(doc[order], return_inverse=True)
+    code, other = code[order], other[order]
+    both = other[code == BOTH]
+    parts = [_steps(key[order]), _planes(doc.astype("uint32")), code.tobytes(), times[order].tobytes(), both.tobytes(), role[used].tobytes(), keys[used].tobytes()]
+    return _squeezed((len(key), len(used), len(both)), parts)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(document key, rare word, code, other, times, role) of each occurrence."""
+    (n, m, _), raw = _opened(blob, 3, lambda n, m, b: (8 * n, 4 * n, 2 * n, n, 8 * b, m, 8 * m))
+    doc, code = _unplaned(raw[1], "uint32", n), np.frombuffer(raw[2], "uint16")
+    other = np.zeros(n, "int64")
+    other[code == BOTH] = np.frombuffer(raw[4], "int64")
+    return np.frombuffer(raw[6], "int64")[doc], _unstepped(raw[0], n), code, other, np.frombuffer(raw[3], "uint8"), np.frombuffer(raw[5], "uint8")[doc]
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in range(shards):
+        if ends[s + 1] > ends[s]:
+            yield s, order[ends[s] : ends[s + 1]]
+
+
+def _pack_rows(model: Model, shards: int):
+    """Rows (kind, shard, blob): 0 occurrences, 1 questions for counts of words of a shard, 2 the counts of frequent pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, pairs, parts, docs, held = model.f, {}, [], [], 0
+
+        def rows(kind: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.int32()), pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], ["kind", "shard", "blob"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if parts:
+                doc, key, code, other, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+                keys, role = np.array([d[0] for d in docs], "int64"), np.array([d[1] for d in docs], "uint8")
+                shard = key % shards
+                yield rows(0, [(s, pack(doc[o], key[o], code[o], other[o], times[o], role, keys)) for s, o in _by_shard(shard, shards)])
+                both = code == BOTH
+                asked = np.unique(np.stack([other[both], shard[both]], axis=1), axis=0)
+                if len(asked):
+                    yield rows(1, [(s, _squeezed((len(o),), [asked[o, 0].tobytes(), _planes(asked[o, 1].astype("uint32"))])) for s, o in _by_shard(asked[:, 0] % shards, shards)])
+            parts.clear()
+            docs.clear()
+            held = 0
+
+        for batch in batches:
+            for name, fold, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                x, at_x, w, at_w = model.tokens(text)
+                role = min(fold, 2)
+                common = (at_x >= 0) & (at_w >= 0)
+                if role:
+                    ids, n = np.unique(at_x[common] * f + at_w[common], return_counts=True)
+                    if len(ids):
+                        pairs.setdefault(role, np.zeros((f + 1) * f, "int64"))[ids] += n
+                x, at_x, w, at_w = x[~common], at_x[~common], w[~common], at_w[~common]
+                if not len(w):
+                    continue
+                key = np.where(at_w < 0, w, x)
+                code = np.where(at_w >= 0, SECOND + at_w, np.where(at_x >= 0, at_x, BOTH)).astype("uint16")
+                other = np.where(code == BOTH, x, 0)
+                order = np.lexsort((other, code, key))
+                key, code, other = key[order], code[order], other[order]
+                new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (code[1:] != code[:-1]) | (other[1:] != other[:-1]))))
+                n = np.diff(np.append(new, len(key)))
+                # Counts are bytes: more than 255 go in several rows.
+                while len(new):
+                    parts.append((np.full(len(new), len(docs), "uint32"), key[new], code[new], other[new], np.minimum(n, 255).astype("uint8")))
+                    new, n = new[n > 255], n[n > 255] - 255
+                docs.append((name, role))
+                held += len(text)
+                if held >= PACK_BYTES:
+                    yield from flush()
+        yield from flush()
+        for role, both in pairs.items():
+            at = np.flatnonzero(both)
+            yield rows(2, [(-1, struct.pack("<II", role, len(at)) + at.astype("int64").tobytes() + both[at].tobytes())])
+
+    return run
+
+
+def _answers(questions: pa.Table, words: pa.Table) -> pa.Table:
+    """Counts of the words asked for, as one blob for each shard that asked."""
+    got = []
+    for blob in questions.column("blob").to_pylist():
+        (n,), raw = _opened(blob, 1, lambda n: (8 * n, 4 * n))
+        got.append(np.stack([_unplaned(raw[1], "uint32", n).astype("int64"), np.frombuffer(raw[0], "int64")], axis=1))
+    out = []
+    if got and words.num_rows:
+        asked = np.unique(np.concatenate(got), axis=0)
+        h, c, kept = (words.column(x).to_numpy() for x in ("h", "c", "kept"))
+        order = np.argsort(h)
+        h, c, kept = h[order], c[order], kept[order]
+        at = np.minimum(np.searchsorted(h, asked[:, 1]), len(h) - 1)
+        known = h[at] == asked[:, 1]
+        asked, at = asked[known], at[known]
+        cuts = np.flatnonzero(np.diff(asked[:, 0], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(asked)], strict=True):
+            out.append((int(asked[a, 0]), _squeezed((b - a,), [asked[a:b, 1].tobytes(), _planes(c[at[a:b]]), _planes(kept[at[a:b]])])))
+    return pa.table({"shard": pa.array([s for s, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+
+def _shard(model: Model, occurrences: pa.Table, answers: pa.Table, kept_only: bool) -> tuple[np.ndarray, ...]:
+    """(document key, times, role, first word's count, is the start, pair's count, second word's count, is the second word frequent)."""
+    columns = [np.concatenate(x) for x in zip(*[unpack(b) for b in occurrences.column("blob").to_pylist()], strict=True)]
+    order = np.lexsort((columns[3], columns[2], columns[1]))
+    doc, key, code, other, times, role = (x[order] for x in columns)
+    del columns, order
+    counted = np.where(role == 2 if kept_only else role > 0, times, 0)
+    new = key[1:] != key[:-1]
+    word = np.cumsum(np.concatenate(([False], new)), dtype="int32")
+    new |= (code[1:] != code[:-1]) | (other[1:] != other[:-1])
+    pair = np.cumsum(np.concatenate(([False], new)), dtype="int32")
+    both, second = code == BOTH, (code >= SECOND) & (code != BOTH)
+    first = code < SECOND
+    # A rare word's occurrences are those where it is the second one.
+    rare = np.bincount(word, np.where(second, 0, counted)).astype("int64")[word]
+    context = rare.copy()
+    context[first] = (model.kept_context if kept_only else model.context)[code[first]]
+    context[both] = 0
+    found = [_opened(b, 1, lambda n: (8 * n,) * 3) for b in answers.column("blob").to_pylist()]
+    if found:
+        h = np.concatenate([np.frombuffer(raw[0], "int64") for _, raw in found])
+        c = np.concatenate([_unplaned(raw[2 if kept_only else 1], "int64", n) for (n,), raw in found])
+        by = np.argsort(h)
+        h, c = h[by], c[by]
+        at = np.minimum(np.searchsorted(h, other[both]), len(h) - 1)
+        context[both] = np.where(h[at] == other[both], c[at], 0)
+    count = rare
+    count[second] = (model.kept_count if kept_only else model.count)[code[second] - SECOND] if model.f else 0
+    return doc, times, role, context, code == model.f, np.bincount(pair, counted).astype("int64")[pair], count, second
+
+
+def _held_out_cells(model: Model):
+    def run(occurrences: pa.Table, answers: pa.Table) -> pa.Table:
+        grid = {}
+        if occurrences.num_rows:
+            _, times, role, context, start, pair, word, _ = _shard(model, occurrences, answers, True)
+            d = role == 1
+            grid = cells(model.buckets(context[d], start[d], model.kept_n), pair[d] / np.maximum(context[d], 1), word[d] / max(model.kept_n, 1), times[d].astype("float64"))
+        return pa.table({"cell": pa.array(list(grid), pa.int64()), **{c: pa.array([v[i] for v in grid.values()], pa.float64()) for i, c in enumerate(("w", "s2", "s1"))}})
+
+    return run
+
+
+def _shard_scores(model: Model):
+    def run(occurrences: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, sums = np.empty(0, "int64"), [np.empty(0)] * 3
+        if occurrences.num_rows:
+            key, times, _, context, start, pair, word, second = _shard(model, occurrences, answers, False)
+            docs, back = np.unique(key, return_inverse=True)
+            # What a frequent word gives but for its context is known where it is read.
+            mine = np.where(second, 0, times)
+            sums = [np.bincount(back, x, len(docs)) for x in (mine * (word > 0), mine * model.base(word), times * np.log10(model.probability(context, start, pair, word)))]
+        return pa.table({"k": docs, "known": sums[0].astype("int64"), "base": sums[1], "score": sums[2]})
+
+    return run
+
+
+def _common_scores(model: Model, id_type: pa.DataType):
+    """What each text's frequent words give, where all that is needed is at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(3).to_pylist():
+                _, at_x, w, at_w = model.tokens(text)
+                n, words = len(w), at_w[at_w >= 0]
+                both = (at_x >= 0) & (at_w >= 0)
+                at_x, at_w = at_x[both], at_w[both]
+                p = model.probability(model.context[at_x], at_x == model.f, model.pairs[at_x * model.f + at_w], model.count[at_w]) if len(at_w) else np.ones(0)
+                out.append((n, len(words), float(model.base(model.count[words]).sum()) if len(words) else 0.0, float(np.log10(p).sum())))
+            n, known, base, score = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+                ["k", "doc_id", "fold", "n_tokens", "known", "base", "score"],
+            )
+
+    return run
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``.
+
+    p(w | x) = a c(x, w) / c(x) + b c(w) / N + c / (V + 1) for every word x before w, the weights by the bucket of c(x) / N; the start of
+    a text, and words that no training text has, have buckets of their own.  Learning, folds and cases as of
+    `lm_scoring.score`.
+    """
+    spark = docs.sparkSession
+    byte_batches(spark)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType
+    rows = rows.select(F.xxhash64("text", F.col("doc_id").isNull(), "doc_id").alias("k"), "doc_id", fold_of(F.col("doc_id")).cast("int").alias("fold"), "text")
+
+    hashes = F.concat(F.transform(words_of(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    words = durable(rows.filter("fold != 0").select("fold", F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.count_if(F.col("fold") > 1).alias("kept")), "words")
+    is_end = F.col("h") == F.lit(word_hash(END))
+    n, v, kept_n, texts, kept_texts = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.sum("kept"), F.sum(F.when(is_end, F.col("c"))), F.sum(F.when(is_end, F.col("kept")))).first())
+    model = Model([tuple(r) for r in words.filter(F.col("c") * FREQUENT >= n).select("h", "c", "kept").collect()], n, v, kept_n, texts, kept_texts)
+
+    shards = max(1, -(-n // SHARD_ROWS))
+    packed = durable(rows.select("k", "fold", "text").mapInArrow(_pack_rows(model, shards), "kind int, shard int, blob binary"), "packed")
+    counts = packed.filter("kind = 2").select("blob").mapInArrow(_pair_rows, "role int, pair long, n long").groupBy("role", "pair").agg(F.sum("n").alias("n")).toArrow()
+    kept, deleted = (np.zeros((model.f + 1) * model.f, "int64") for _ in range(2))
+    for role, pair, c in zip(*[counts.column(i).to_numpy() for i in range(3)], strict=True):
+        (deleted if role == 1 else kept)[pair] += c
+    model.pairs = kept + deleted
+
+    asked = packed.filter("kind = 1").select("shard", "blob")
+    known = words.select(F.pmod("h", F.lit(shards).cast("long")).cast("int").alias("shard"), "h", "c", "kept")
+    answers = durable(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "shard int, blob binary"), "answers")
+    release(spark)
+
+    met = packed.filter("kind = 0").select("shard", "blob").groupBy("shard").cogroup(answers.groupBy("shard"))
+    grid: dict[int, list[float]] = {}
+    for r in met.applyInArrow(_held_out_cells(model), "cell long, w double, s2 double, s1 double").groupBy("cell").agg(F.sum("w"), F.sum("s2"), F.sum("s1")).collect():
+        grid[r[0]] = [r[1], r[2], r[3]]
+    at = np.flatnonzero(deleted)
+    if len(at):
+        x, w = at // model.f, at % model.f
+        common = cells(model.buckets(model.kept_context[x], x == model.f, kept_n), kept[at] / np.maximum(model.kept_context[x], 1), model.kept_count[w] / max(kept_n, 1), deleted[at].astype("float64"))
+        for k, s in common.items():
+            grid[k] = [a + b for a, b in zip(grid.get(k, [0.0] * 3), s, strict=True)]
+    model.weights = learn_weights(grid, UNSEEN + 1, v)
+
+    release(spark)
+    mine = durable(rows.mapInArrow(_common_scores(model, to_arrow_type(id_type)), f"k long, doc_id {id_type.simpleString()}, fold int, n_tokens long, known long, base double, score double"), "common")
+    others = met.applyInArrow(_shard_scores(model), "k long, known long, base double, score double").groupBy("k").agg(F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), F.sum("score").alias("r_score"))
+    # Rows equal in id and text added up to one sum.
+    times = mine.groupBy("k").agg(F.count("*").alias("m"))
+    both = mine.join(others.join(times, "k"), "k", "left")
+    zero = F.lit(0.0)
+    return both.select(
+        "doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce(F.expr("r_known div m"), F.lit(0).cast("long"))).alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce(F.col("r_base") / F.col("m"), zero)).alias("base_score"), (F.col("score") + F.coalesce(F.col("r_score") / F.col("m"), zero)).alias("score"),
+    )

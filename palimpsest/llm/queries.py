@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, token_counts, topk, toxicity
+from . import lm_bigrams, mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, token_counts, topk, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,7 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    return lm_bigrams.score(table(spark, sf_dir, "documents"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,39 @@
+"""LM scoring with every word as a context, against brute force."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from palimpsest.llm import lm_bigrams, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_word_is_a_context(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm_bigrams, "SHARD_ROWS", 20_000)
+    models, inner = [], lm_bigrams._common_scores
+    monkeypatch.setattr(lm_bigrams, "_common_scores", lambda m, t: models.append(m) or inner(m, t))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [(None, "one two"), (900_001, "pear " * 700 + "rarely seen"), (900_001, "pear " * 700 + "rarely seen"), (900_002, None), (900_003, "")]
+    more += [(900_010 + i, f"seldom followed{i % 2} by never{i} twice") for i in range(40)]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in queries.QUERIES["op3_lm_scoring"](spark, f"file://{tmp_path}").collect()]
+    m = models[0]
+    tokens = [(r.doc_id, [*(r.text or "").encode().lower().split(), b""]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    c = Counter(w for i, t in tokens if not held(i) for w in t)
+    n, v = sum(c.values()), len(c)
+    pair = Counter(p for i, t in tokens if not held(i) for p in zip([None, *t[:-1]], t, strict=True))
+    context = Counter(x for i, t in tokens if not held(i) for x in [None, *t[:-1]])
+    want = []
+    for i, t in tokens:
+        s, base = 0.0, sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        for x, w in zip([None, *t[:-1]], t, strict=True):
+            bucket = lm_bigrams.START if x is None else int(np.floor(-np.log2(context[x] / n))) if context[x] else lm_bigrams.UNSEEN
+            a, b, d = m.weights[bucket]
+            s += np.log10(a * pair[x, w] / max(context[x], 1) + b * c[w] / n + d / (v + 1))
+        want.append((str(i), held(i), len(t), sum(c[w] > 0 for w in t), n, round(base, 5), round(s, 5)))
+    assert sorted((str(g["doc_id"]), g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 5), round(g["score"], 5)) for g in got) == sorted(want)
+    assert 0 < m.f < v / 2 and lm_bigrams.score(docs.limit(0)).count() == 0
