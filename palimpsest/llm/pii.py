@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import byte_batches, narrow
 from .pii_model import CLASSES, WINDOW, BiLstmCrf, encode, trained
-from .pii_rules import KINDS, base_spans, is_card, luhn
+from .pii_rules import _LOCAL, KINDS, base_spans, is_card, luhn
 
 #: All kinds have a digit or a sign for "at"; windows are cut around these.
 TRIGGER = re.compile(r"[0-9]+|@|[(\[]at[)\]]")
@@ -27,6 +27,7 @@ WINDOWS_AT_ONCE = 512
 MARGIN = 0.25
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?:(?:\.|[(\[]dot[)\]])[A-Za-z0-9-]+)+")
+_DOMAIN_GOES_ON = re.compile(r"[A-Za-z0-9-]*(?:(?:\.|[(\[]dot[)\]])[A-Za-z0-9-]+)*")
 _IP = re.compile(r"([0-9]{1,3})(?:\[\.\]|\.| \. )([0-9]{1,3})(?:\[\.\]|\.| \. )([0-9]{1,3})(?:\[\.\]|\.| \. )([0-9]{1,3})")
 _PHONE = re.compile(r"[+(]?[0-9][ ().0-9-]*[0-9]")
 
@@ -44,6 +45,15 @@ def plausible(kind: int, found: str) -> bool:
     return bool(_PHONE.fullmatch(found)) and 9 <= len(digits) <= 15 and bool(re.search(r"[ ().-]", found)) and not (len(digits) >= 13 and luhn(digits))
 
 
+def whole_address(text: str, a: int, b: int, cut: bool) -> tuple[int, int]:
+    """An address found in a window, grown in the text: to the start of its local part, and on in its domain where it was cut."""
+    while a > 0 and text[a - 1] in _LOCAL:
+        a -= 1
+    if b < len(text) and (cut or text[b].isalnum()):
+        b = _DOMAIN_GOES_ON.match(text, b).end()
+    return a, b
+
+
 def windows(text: str) -> list[tuple[int, int]]:
     """(start, end) of windows that cover every trigger with its context."""
     out, start, end = [], -1, -1
@@ -123,12 +133,14 @@ def spans_in_windows(model: BiLstmCrf, texts: list[str], cut: list[tuple[int, in
                     j += 1
                 a, b = s + i, s + j
                 margin = float(margins[row, i:j].mean())
-                i = j
+                at_end, i = j == len(line), j
                 while a < b and texts[t][a] in " ,;:!?":
                     a += 1
                 while a < b and texts[t][b - 1] in " ,;:!?.":
                     b -= 1
-                # A span that goes on past it is whole in another window, or nowhere.
+                # An address may be longer than any window; spans of other kinds are whole in another one.
+                if k == 0 and a < b and TRIGGER.search(text := texts[t], a, b):
+                    a, b = whole_address(text, a, b, at_end)
                 alone = (a == 0 or not texts[t][a - 1].isalnum()) and (b == len(texts[t]) or not texts[t][b].isalnum())
                 if alone and margin >= MARGIN and plausible(k, texts[t][a:b]):
                     found[t][k, a, b] = max(found[t].get((k, a, b), 0), margin * (b - a))
@@ -161,7 +173,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per row of ``docs``, in one scan.
 
     Spans by pattern always stay (`pii_rules`).  The model reads overlapping windows around every digit run and sign for "at" of the
-    whole text, since no kind is without one; what its windows find is checked for its kind and reconciled over the text
+    whole text, since no kind is without one; an address cut by a window is grown to its ends; what is found is checked for its kind and reconciled over the text
     (`reconcile`).  Counts are of all spans; places are code points, ends exclusive.
 
     A null text is empty and has no spans; null or repeated ids stay; an empty table gives an empty one; further columns are

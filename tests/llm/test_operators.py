@@ -372,3 +372,11 @@ def test_classes_of_null_or_repeated_ids_stay_apart(spark):
     kept = Counter(r.text[0] for r in near_duplicates.one_of_each(df).collect())
     assert kept == Counter("abcdef")
     assert near_duplicates.classes(df).select("label").distinct().count() == 6
+
+
+def test_an_address_longer_than_a_window_is_whole():
+    from palimpsest.llm.pii_model import trained
+
+    model, local = trained(), "firstname.middlename.lastnames"
+    for before, address, after in [("write to ", f"{local}(at)mail.example.com", " now"), ("ask ", "a." * 60 + "miller(at)mail.example.com", " or so"), ("to ", f"{local}[at]" + "sub.of.the.house." * 8 + "com", ", ok")]:
+        assert (0, len(before), len(before) + len(address)) in pii.find_spans(model, [before + address + after])[0][1], address
