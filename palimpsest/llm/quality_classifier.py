@@ -22,18 +22,38 @@ LENGTHS = (3, 4)
 EPOCHS = 4
 #: Stands for a word that is the one before it again.
 SAME = "<same word>"
-#: Of a longer word, only the n-grams of so many bytes at either end count.
-LONG = 32
+#: Longer words, as of text without spaces, are hashed by arrays of so many bytes.
+LONG, CHUNK = 64, 1 << 18
+_CRC = np.arange(256, dtype="uint32")
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ 0xEDB88320, _CRC >> 1).astype("uint32")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: the whole, and its byte n-grams between marks at its ends."""
-    b = b"<" + word.encode("utf-8", "surrogatepass") + b">"
-    if len(b) > 2 * LONG:
-        return [zlib.crc32(b) & (BUCKETS - 1), *subwords_of(b[:LONG]), *subwords_of(b[-LONG:])]
+def marked(word: str) -> bytes:
+    return b"<" + word.encode("utf-8", "surrogatepass") + b">"
+
+
+def subwords(word: str) -> list[int] | np.ndarray:
+    """Buckets of a word: the whole, and its byte n-grams between marks at its ends, all of them."""
+    b = marked(word)
+    if len(b) > LONG:
+        return np.concatenate(list(subwords_of_long(b)))
     return [zlib.crc32(b) & (BUCKETS - 1), *subwords_of(b)]
 
 
+def subwords_of_long(b: bytes) -> Iterator[np.ndarray]:
+    """The same buckets, in arrays of bounded size."""
+    yield np.array([zlib.crc32(b) & (BUCKETS - 1)], "uint16")
+    x = np.frombuffer(b, "uint8")
+    for n in LENGTHS:
+        for at in range(0, len(x) - n + 1, CHUNK):
+            some = x[at : at + CHUNK + n - 1]
+            c = np.full(len(some) - n + 1, 0xFFFFFFFF, "uint32")
+            for i in range(n):
+                c = _CRC[(c ^ some[i : i + len(c)]) & 0xFF] ^ (c >> np.uint32(8))
+            yield (~c & np.uint32(BUCKETS - 1)).astype("uint16")
+
+
 def subwords_of(b: bytes) -> list[int]:
     return [zlib.crc32(b[i : i + n]) & (BUCKETS - 1) for n in LENGTHS for i in range(len(b) - n + 1)]
 
@@ -59,12 +79,12 @@ class SubwordClassifier:
             for w in with_repeats(t.split()):
                 if w not in number:
                     number[w] = len(parts)
-                    parts.append(subwords(w))
+                    parts.append(np.array(subwords(w), "uint16"))
                 ids.append(number[w])
             docs.append(np.unique(np.array(ids, "int64"), return_counts=True))
         keep = [i for i, (ids, _) in enumerate(docs) if len(ids)]
         sizes = np.array([len(p) for p in parts], "int64")
-        starts, flat = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(parts) else sizes, np.array([b for p in parts for b in p], "int64")
+        starts, flat = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(parts) else sizes, np.concatenate([np.empty(0, "uint16"), *parts])
         if keep:
             self.bias[1] = np.log((y[keep].mean() + 1e-3) / (1 - y[keep].mean() + 1e-3))
         steps, done = max(1, epochs * -(-len(keep) // 32)), 0
@@ -103,7 +123,13 @@ class SubwordClassifier:
 
 
 def _score(buckets: list[float], bias: float):
+    margins = np.array(buckets)
+
     def of(word: str) -> float:
+        # A character has four bytes at most; the marks are two.
+        if 4 * len(word) + 2 > LONG and len(b := marked(word)) > LONG:
+            sums = [(margins[x].sum(), len(x)) for x in subwords_of_long(b)]
+            return float(sum(s for s, _ in sums) / sum(n for _, n in sums))
         parts = subwords(word)
         return sum(map(buckets.__getitem__, parts)) / len(parts)
 

@@ -380,3 +380,15 @@ def test_an_address_longer_than_a_window_is_whole():
     model, local = trained(), "firstname.middlename.lastnames"
     for before, address, after in [("write to ", f"{local}(at)mail.example.com", " now"), ("ask ", "a." * 60 + "miller(at)mail.example.com", " or so"), ("to ", f"{local}[at]" + "sub.of.the.house." * 8 + "com", ", ok")]:
         assert (0, len(before), len(before) + len(address)) in pii.find_spans(model, [before + address + after])[0][1], address
+
+
+def test_all_of_a_long_word_counts(spark):
+    for word in ("x" * 63, "日本語の文章" * 40, "ab" * 300_000):
+        b = b"<" + word.encode() + b">"
+        assert list(quality_classifier.subwords(word)) == [zlib.crc32(b) & 65535, *quality_classifier.subwords_of(b)]
+    ends = "同じ始まりと終わりの文" * 5, "同じ始まりと終わりの文" * 5
+    rows = [(i, ends[0] + ("良い" if i % 2 else "悪い") * (20 + i % 7) + ends[1]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = quality_classifier.quality(docs, labels, threshold=0.5).filter("held_out").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) > 0.95 * len(got)
