@@ -1,0 +1,47 @@
+"""Over whole tables, without bounds of ids, what the queries of the same name without ``_whole`` ask of a part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.types import enum_order
+from ..operators import constraints
+from ..operators.joins import range_join
+from .registry import query, sql_query
+
+# Where all pairs would be too many, each side is summed up by key before the join.
+sql_query("join_dup_keys_whole", """
+SELECT l.k, l.n * r.n AS n, l.s * r.n AS s FROM (SELECT o_custkey % 3 AS k, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM {orders} GROUP BY o_custkey % 3) l
+JOIN (SELECT c_custkey % 3 AS k, count(*) AS n FROM {customer} GROUP BY c_custkey % 3) r ON l.k = r.k""")
+sql_query("join_inner_composite_whole", "SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS x, b.l_partkey AS y FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber")
+sql_query("join_right_whole", "SELECT o.o_orderkey, s.s_suppkey, s.s_name FROM {orders} o RIGHT JOIN {supplier} s ON o.o_custkey = s.s_suppkey")
+_L = "(SELECT o_custkey AS a, o_orderpriority AS b, count(*) AS x FROM {orders} GROUP BY o_custkey, o_orderpriority)"
+_R = "(SELECT o_custkey + 7 AS a, o_orderpriority AS b, max(o_totalprice) AS y FROM {orders} GROUP BY o_custkey + 7, o_orderpriority)"
+sql_query("join_full_whole", f"SELECT a, b, l.x, r.y FROM {_L} l FULL JOIN {_R} r USING (a, b)")
+sql_query("join_null_safe_whole", """
+SELECT a.k, a.n * b.n AS n FROM (SELECT nullif(c_custkey % 5, 0) AS k, count(*) AS n FROM {customer} GROUP BY nullif(c_custkey % 5, 0)) a
+JOIN (SELECT nullif(s_suppkey % 5, 0) AS k, count(*) AS n FROM {supplier} GROUP BY nullif(s_suppkey % 5, 0)) b ON a.k IS NOT DISTINCT FROM b.k""")
+
+
+@query("join_range_whole", """
+SELECT e.event_id, w.w FROM {events} e JOIN (SELECT event_id AS w, epoch_us(ts) AS lo, epoch_us(ts) + 60000000 AS hi FROM {events}) w ON epoch_us(e.ts) >= w.lo AND epoch_us(e.ts) < w.hi""")
+def _(t):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = t("events").select(F.col("event_id").alias("w"), at.alias("lo"), (at + 60_000_000).alias("hi"))
+    return range_join(t("events").select("event_id", at.alias("at")), "at", w, "lo", "hi", width=60_000_000).select("event_id", "w")
+
+
+@query("constraint_unique_nulls_whole", "SELECT a, b, count(*) AS n FROM (SELECT nullif(o_custkey % 30, 0) AS a, o_orderkey % 100 AS b FROM {orders}) AS s GROUP BY a, b HAVING count(*) > 1")
+def _(t):
+    rows = t("orders").select(F.nullif(F.col("o_custkey") % 30, F.lit(0)).alias("a"), (F.col("o_orderkey") % 100).alias("b"))
+    return constraints.unique(rows, ["a", "b"], nulls_distinct=False)
+
+
+_PRIORITIES = ("3-MEDIUM", "1-URGENT", "5-LOW", "2-HIGH", "4-NOT SPECIFIED")
+
+
+@query("custom_order_whole", """
+SELECT o_orderkey, o_orderpriority FROM {orders}
+ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '5-LOW' THEN 3 WHEN '2-HIGH' THEN 4 ELSE 5 END, o_orderkey""")
+def _(t):
+    return t("orders").select("o_orderkey", "o_orderpriority").orderBy(enum_order(F.col("o_orderpriority"), _PRIORITIES), "o_orderkey")

@@ -1,0 +1,14 @@
+"""What queries ask of a part is asked of whole tables too; `test_queries.py` holds each against its SQL."""
+
+import re
+
+import pytest
+
+from palimpsest.queries import ORACLE_SQL, QUERIES
+
+PARTS = "join_dup_keys join_inner_composite join_full join_right join_null_safe join_range constraint_unique_nulls custom_order".split()
+
+
+@pytest.mark.parametrize("key", PARTS)
+def test_whole_tables_are_read(key):
+    assert f"{key}_whole" in QUERIES and not re.search(r"WHERE|LIMIT", ORACLE_SQL[f"{key}_whole"])
