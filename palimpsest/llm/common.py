@@ -28,10 +28,16 @@ def narrow(df: DataFrame, **names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one is set if Spark runs in this one process; on a cluster, whose executors couldn't see it, it
+    is an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
-        known = f"file://{tempfile.gettempdir()}/palimpsest-checkpoints"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
@@ -41,7 +47,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `durable` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,93 +1,259 @@
 """LM scoring (3): bigrams by deleted interpolation, weights by context-frequency buckets learnt with expectation-maximisation.
 
-A context is the word before; contexts that make up at least 1 / `FREQUENT` of the training tokens have estimates of their own,
-the start of a text too, and all rarer ones share one.  By arithmetic there are at most `FREQUENT` frequent words, at any
-size of the corpus, so they may go to every executor, and so may the counts of pairs of them.  All other occurrences travel:
-those of one word meet in one shard, where its count and its counts by context are known.  A word there is rare, so no
-shard is hot.  The vocabulary, the contexts it is counted in and what is shuffled grow with the corpus; nothing is cut off.
+    p(w | x) = a c(x, w) / c(x) + b c(w) / N + c / (V + 1),   (a, b, c) by the bucket of c(x)
+
+Every word is a context of its own.  Texts are gathered into blocks of a bounded size.  A block asks for the count of each
+distinct word and pair it holds, together with what it adds to that count itself; questions go to shards by ranges of the
+64-bit key, sorted and as differences.  A shard adds up and answers in the order of the questions, so an answer carries no keys.
+A key has one question a block, so no key is a hot spot; what a worker holds is one block or one shard.  Nothing is
+cut off, and no table of words or pairs goes to the driver or to all executors.  The weights are learnt on the deleted fold, whose texts
+have blocks of their own, from sums over cells of a grid.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, byte_batches, durable, narrow, release, words_of
+from .common import byte_batches, durable, forget, narrow, release
+from .dart_minhash import mix
 
-#: At most so many words are frequent: those with at least this share of the training tokens.
-FREQUENT = 1000
 #: Folds by crc32 of the id: 0 is held out, 1 is deleted (for the weights), the rest and 1 give the counts.
 FOLDS = 10
-#: Bytes of text whose rare occurrences are packed together, and occurrences a shard is meant to have.
-PACK_BYTES, SHARD_ROWS = 10 << 20, 800_000
+#: Bytes of text in a block, and bytes of text a shard is meant to stand for.
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 5 << 20
+#: Texts are hashed piece by piece of about so many bytes.
+PIECE = 1 << 19
+#: Buckets: the binary order of a context's share, then the start of a text, then contexts never seen.
+ORDERS = 48
+START, UNSEEN = ORDERS, ORDERS + 1
 #: Cells a decade of the grid on which the weights are learnt.
 GRID = 8
 ITERATIONS = 40
-END = b""
-_HASH = partial(xxhash.xxh64_intdigest, seed=42)
 
+_R = np.uint64(0x9E3779B97F4A7C15)
+_R_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LOWER = np.arange(256, dtype="uint8")
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_EVEN, _ODD = ~np.uint64(1), np.uint64(1)
+_powers = [np.ones(1, "uint64"), np.ones(1, "uint64")]
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    """The 64-bit hashes that Spark's xxhash64 gives."""
-    return np.fromiter(map(_HASH, words), "uint64", len(words)).view("int64")
 
+def fold_of(doc_id):
+    """crc32 of the id as text, modulo `FOLDS`; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS
 
-def word_hash(word: bytes) -> int:
-    return int(hashes_of([word])[0])
 
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_R, _R_BACK)):
+            x = np.full(n, base)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    return _powers
 
-def fold_of(doc_id):
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS
+
+def _finished(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Keys of words are even, those of pairs odd."""
+    with np.errstate(over="ignore"):
+        return mix(h + length.astype("uint64") * _R_BACK) & _EVEN
+
+
+#: The key of a text's end, which is the empty word.
+END = _finished(np.zeros(1, "uint64"), np.zeros(1, "int64"))[0]
+
+
+def word_keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of each word of the bytes: a polynomial of its bytes, A-Z as a-z, and its length, mixed."""
+    if not raw:
+        return np.empty(0, "uint64"), np.empty(0, "int64")
+    a = _LOWER[np.frombuffer(raw, "uint8")]
+    space = _SPACE[a]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, "uint64"), start
+    powers, back = _power(len(a))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(a) + 1, "uint64")
+        np.cumsum(a * powers[: len(a)], out=total[1:])
+        return _finished((total[end] - total[start]) * back[start], end - start), start
+
+
+def _pieces(raw: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` bytes, cut at spaces."""
+    at = 0
+    while len(raw) - at > size:
+        cut = raw.rfind(b" ", at, at + size)
+        if cut <= at:
+            cut = raw.find(b" ", at + size)
+            if cut < 0:
+                break
+        yield at, cut
+        at = cut
+    yield at, len(raw)
 
 
-class Model:
-    """Counts that every executor has, and the weights.  Contexts: 0 to f-1 frequent words, f all other words, f+1 a text's start."""
-
-    def __init__(self, frequent: list[tuple[int, int]], n: int, v: int):
-        frequent = sorted(frequent)
-        self.keys = np.array([h for h, _ in frequent], "int64")
-        self.count = np.array([c for _, c in frequent], "int64")
-        self.f, self.n, self.v = len(frequent), n, v
-        self.pairs = self.context = self.kept_context = self.kept_n = self.weights = None
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Places among the frequent words; -1 for others."""
-        if not self.f:
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.keys, h), self.f - 1)
-        return np.where(self.keys[at] == h, at, -1)
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, place, context) of a text's tokens; of bytes, lower() changes A-Z only and split() knows six white space characters."""
-        words = text.encode().lower().split()
-        words.append(END)
-        h = hashes_of(words)
-        place = self.numbers(h)
-        context = np.empty(len(h), "int64")
-        context[0] = self.f + 1
-        context[1:] = np.where(place[:-1] >= 0, place[:-1], self.f)
-        return h, place, context
-
-    def buckets(self, counts: np.ndarray, n: int) -> np.ndarray:
-        """Bucket of each context by the binary order of its share; the last two are the rare words' and the start's."""
-        b = np.minimum(np.floor(-np.log2(np.maximum(counts, 1) / max(n, 1))), FREQUENT.bit_length()).astype("int64")
-        b[self.f], b[self.f + 1] = FREQUENT.bit_length() + 1, FREQUENT.bit_length() + 2
-        return b
-
-    def probability(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        w = self.weights[self.buckets(self.context, self.n)[context]]
-        return w[:, 0] * pair / np.maximum(self.context[context], 1) + w[:, 1] * word / max(self.n, 1) + w[:, 2] / (self.v + 1)
-
-    def base(self, word: np.ndarray) -> np.ndarray:
-        return np.log10((word + 0.1) / (self.n + 0.1 * (self.v + 1)))
+class Block:
+    """Tokens of some texts, their distinct words (of some place in ``words``), and their distinct pairs.
+
+    ``counted``: of each text, whether it adds to the counts.
+    """
+
+    def __init__(self, texts: list[bytes], counted: np.ndarray):
+        raw, ends = b"\n".join(texts), np.cumsum([len(t) + 1 for t in texts])
+        parts = [(k, at + start) for start, end in _pieces(raw, PIECE) for k, at in [word_keys(raw[start:end])]]
+        keys, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = np.diff(np.searchsorted(at, ends), prepend=0)
+        del raw, at, parts
+        #: Place after the last token of each text, its end included.
+        self.ends = np.cumsum(n + 1)
+        keys = np.insert(keys, np.cumsum(n), END)
+        self.words, token = np.unique(keys, return_inverse=True)
+        del keys
+        #: The start of a text is the context after all words.
+        m = len(self.words)
+        before = np.concatenate(([m], token[:-1]))
+        before[self.ends[:-1]] = m
+        self.pair_of = before * m + token
+        self.token, adds = token, np.repeat(counted, n + 1)
+        self.n_word = np.bincount(token, adds, m).astype("int64")
+        tagged = np.sort(self.pair_of * 2 + adds)
+        new = np.flatnonzero(np.diff(tagged >> 1, prepend=-1))
+        self.pairs = tagged[new] >> 1
+        self.n_pair = np.add.reduceat(tagged & 1, new)
+        self.first, self.second = self.pairs // m, self.pairs % m
+        with np.errstate(over="ignore"):
+            context = np.append(self.words, _R)
+            pair_keys = mix(mix(context)[self.first] * _R + self.words[self.second]) | _ODD
+        self.keys = np.concatenate((self.words, pair_keys))
+        self.order = np.argsort(self.keys)
+
+    def questions(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, keys, counts), keys in order; a shard has a range of the keys' upper halves."""
+        keys, counts = self.keys[self.order], np.concatenate((self.n_word, self.n_pair))[self.order]
+        shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype("int64")
+        ends = np.searchsorted(shard, np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(ends)).tolist():
+            yield s, keys[ends[s] : ends[s + 1]], counts[ends[s] : ends[s + 1]]
+
+    def placed(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the words, of the pairs, and of the contexts: a word is followed by a token whenever it occurs, and starts are as many as ends."""
+        out = np.empty(len(answers), "int64")
+        out[self.order] = answers
+        words = out[: len(self.words)]
+        return words, out[len(self.words) :], np.append(words, words[np.searchsorted(self.words, END)])
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte plane by byte plane."""
+    raw = b"".join(np.ascontiguousarray(x.view("uint8").reshape(len(x), -1).T).tobytes() for x in columns)
+    return struct.pack("<I", len(columns[0])) + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _opened(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    (n,) = struct.unpack_from("<I", blob)
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), "uint8"), [], 0
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _blocks(shards: int, id_type: pa.DataType):
+    """Rows (block, shard, deleted, blob, ids): questions; and with shard -1 the texts of a block and the ids and folds of its rows."""
+    names = ["block", "shard", "deleted", "blob", "ids", "folds"]
+
+    def rows(block: int, shard: list[int], deleted: bool, blobs: list[bytes], ids: list, folds: list) -> pa.RecordBatch:
+        k = len(shard)
+        columns = [pa.array([block] * k, pa.int64()), pa.array(shard, pa.int32()), pa.array([deleted] * k), pa.array(blobs, pa.binary()), pa.array(ids, pa.list_(id_type)), pa.array(folds, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def closed(number: int, deleted: bool, texts: list[bytes], ids: list, folds: list[int]) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([len(t) for t in texts], "uint32")
+        text = struct.pack("<I", len(texts)) + zstandard.ZstdCompressor(level=1).compress(lengths.tobytes() + b"".join(texts))
+        yield rows(number, [-1], deleted, [text], [ids], [folds])
+        asked = [(s, _squeezed(np.diff(k, prepend=np.uint64(0)), n.astype("uint32"))) for s, k, n in Block(texts, np.array(folds) > 0).questions(shards)]
+        yield rows(number, [s for s, _ in asked], deleted, [b for _, b in asked], [None] * len(asked), [None] * len(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Attempts at a task give its blocks the same numbers.
+        number, held = TaskContext.get().partitionId() << 32, {d: [[], [], [], 0] for d in (False, True)}
+        for batch in batches:
+            for i, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                mine = held[fold == 1]
+                mine[0].append(text)
+                mine[1].append(i)
+                mine[2].append(fold)
+                mine[3] += len(text) + 1
+                if mine[3] >= BLOCK_BYTES:
+                    held[fold == 1] = [[], [], [], 0]
+                    yield from closed(number, fold == 1, *mine[:3])
+                    number += 1
+        for deleted, mine in held.items():
+            if mine[0]:
+                yield from closed(number, deleted, *mine[:3])
+                number += 1
+
+    return run
+
+
+def _answers(asked: pa.Table) -> pa.Table:
+    """Of one shard: for each block the counts of its keys; and one row (block null) of the shard's sums N, kept N and V."""
+    blocks, deleted, out = asked.column("block").to_pylist(), asked.column("deleted").to_pylist(), []
+    parts = [_opened(b, "uint64", "uint32") for b in asked.column("blob").to_pylist()]
+    ends = np.cumsum([len(n) for _, n in parts])
+    with np.errstate(over="ignore"):
+        keys = np.concatenate([np.cumsum(d, dtype="uint64") for d, _ in parts])
+    counts = np.concatenate([n for _, n in parts]).astype("int64")
+    kept = counts * np.repeat(~np.array(deleted, bool), np.diff(ends, prepend=0))
+    del parts
+    order = np.argsort(keys)
+    new = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    sizes = np.diff(np.append(new, len(keys)))
+    total, kept = (np.add.reduceat(x[order], new) for x in (counts, kept))
+    is_word = keys[order[new]] & _ODD == 0
+    sums = [int(total[is_word].sum()), int(kept[is_word].sum()), int((total[is_word] > 0).sum())]
+    del keys, counts
+    mine = np.empty((2, len(order)), "uint32")
+    for row, x in enumerate((total, kept)):
+        if total.max(initial=0) >= 1 << 32:
+            raise OverflowError("a count does not fit into 32 bits")
+        mine[row, order] = np.repeat(x, sizes)
+    for block, d, a, b in zip(blocks, deleted, np.concatenate(([0], ends[:-1])), ends, strict=True):
+        out.append((block, _squeezed(mine[0, a:b], mine[1, a:b]) if d else _squeezed(mine[0, a:b])))
+    shard = asked.column("shard")[0].as_py()
+    columns = [pa.array([*(b for b, _ in out), None], pa.int64()), pa.array([shard] * (len(out) + 1), pa.int32()), pa.array([*(b for _, b in out), None], pa.binary())]
+    return pa.table([*columns, *(pa.array([None] * len(out) + [s], pa.int64()) for s in sums)], names=["block", "shard", "blob", "n", "kept_n", "v"])
+
+
+def _opened_block(texts: pa.Table) -> tuple[Block, np.ndarray]:
+    blob, folds = texts.column("blob")[0].as_py(), np.array(texts.column("folds")[0].as_py())
+    (n,) = struct.unpack_from("<I", blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
+    ends = 4 * n + np.cumsum(np.frombuffer(raw, "uint32", n), dtype="int64")
+    return Block([raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)], folds > 0), folds
+
+
+def _in_order(answers: pa.Table) -> list[bytes]:
+    return [b for _, b in sorted(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
+
+
+def buckets(context: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """By the binary order of a context's share of the tokens; starts, and contexts never seen, have their own."""
+    b = np.clip(np.floor(-np.log2(np.maximum(context, 1) / max(n, 1))), 0, ORDERS - 1).astype("int64")
+    return np.where(start, START, np.where(context > 0, b, UNSEEN))
 
 
 def cells(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, weight: np.ndarray) -> dict[int, list[float]]:
@@ -120,155 +286,36 @@ def learn_weights(grid: dict[int, list[float]], n_buckets: int, v: int) -> np.nd
     return out / out.sum(axis=1, keepdims=True)
 
 
-# Packed occurrences: (document, word, context, times, fold class) in the order of the words.
+def _deleted_cells(kept_n: int):
+    """Sums over the grid's cells of a block of the deleted fold, whose own counts are left out of the estimates."""
 
-
-def pack(doc: np.ndarray, h: np.ndarray, context: np.ndarray, times: np.ndarray, role: np.ndarray, keys: np.ndarray) -> bytes:
-    order = np.argsort(h, kind="stable")
-    h = h[order].astype("uint64")
-    steps = np.diff(h, prepend=np.uint64(0))
-    used, doc = np.unique(doc[order], return_inverse=True)
-    columns = [steps.view("uint8").reshape(-1, 8).T.tobytes(), doc.astype("uint32").view("uint8").reshape(-1, 4).T.tobytes(), context[order].astype("uint16").tobytes(), np.minimum(times[order], 255).astype("uint8").tobytes(), role[used].astype("uint8").tobytes(), keys[used].astype("int64").tobytes()]
-    return struct.pack("<II", len(h), len(used)) + zstandard.ZstdCompressor(level=1).compress(b"".join(columns))
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """(document key, word, context, times, role) of each occurrence."""
-    n, m = struct.unpack_from("<II", blob)
-    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
-    at = 0
-
-    def take(size: int) -> bytes:
-        nonlocal at
-        at += size
-        return raw[at - size : at]
-
-    steps = np.ascontiguousarray(np.frombuffer(take(8 * n), "uint8").reshape(8, n).T).view("uint64").ravel()
-    doc = np.ascontiguousarray(np.frombuffer(take(4 * n), "uint8").reshape(4, n).T).view("uint32").ravel()
-    context, times = np.frombuffer(take(2 * n), "uint16"), np.frombuffer(take(n), "uint8")
-    role, keys = np.frombuffer(take(m), "uint8"), np.frombuffer(take(8 * m), "int64")
-    with np.errstate(over="ignore"):
-        h = np.cumsum(steps, dtype="uint64").view("int64")
-    return keys[doc], h, context, times, role[doc]
-
-
-def _pack_rows(model: Model, shards: int):
-    """Rows (shard, blob): the rare occurrences of many texts by shard; as shard -1, the counts of frequent pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = model.f
-        pairs: dict[int, np.ndarray] = {}
-        parts: list[tuple] = []
-        docs: list[tuple[int, int]] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not docs:
-                return
-            doc, h, context, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-            keys, role = np.array([d[0] for d in docs], "int64"), np.array([d[1] for d in docs], "uint8")
-            shard = (h.view("uint64") % np.uint64(shards)).astype("int64")
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [(s, pack(doc[o], h[o], context[o], times[o], role, keys)) for s in range(shards) if len(o := order[ends[s] : ends[s + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "blob"])
-            parts.clear()
-            docs.clear()
-            held = 0
-
-        for batch in batches:
-            for key, fold, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                h, place, context = model.tokens(text)
-                role = 0 if fold == 0 else 1 if fold == 1 else 2
-                common = place >= 0
-                if role:
-                    ids, n = np.unique(context[common] * f + place[common], return_counts=True)
-                    if len(ids):
-                        both = pairs.setdefault(role, np.zeros((f + 2) * f, "int64"))
-                        both[ids] += n
-                h, context = h[~common], context[~common]
-                if not len(h):
-                    continue
-                order = np.lexsort((context, h))
-                h, context = h[order], context[order]
-                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (context[1:] != context[:-1]))))
-                n = np.diff(np.append(new, len(h)))
-                # Counts are bytes: more than 255 go in several rows.
-                while len(new):
-                    parts.append((np.full(len(new), len(docs), "uint32"), h[new], context[new].astype("uint16"), np.minimum(n, 255).astype("uint8")))
-                    new, n = new[n > 255], n[n > 255] - 255
-                docs.append((key, role))
-                held += len(text)
-                if held >= PACK_BYTES:
-                    yield from flush()
-        yield from flush()
-        for role, both in pairs.items():
-            at = np.flatnonzero(both)
-            blob = struct.pack("<II", role, len(at)) + at.astype("int64").tobytes() + both[at].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grid = {}
+        if texts.num_rows:
+            b, _ = _opened_block(texts)
+            word, pair, context = b.placed(np.concatenate([_opened(x, "uint32", "uint32")[1] for x in _in_order(answers)]))
+            at = context[b.first]
+            grid = cells(buckets(at, b.first == len(b.words), kept_n), pair / np.maximum(at, 1), word[b.second] / max(kept_n, 1), b.n_pair.astype("float64"))
+        return pa.table({"cell": pa.array(list(grid), pa.int64()), **{c: pa.array([x[i] for x in grid.values()], pa.float64()) for i, c in enumerate(("w", "s2", "s1"))}})
 
     return run
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            role, n = struct.unpack_from("<II", blob)
-            at, count = np.frombuffer(blob, "int64", n, 8), np.frombuffer(blob, "int64", n, 8 + 8 * n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, role, "int32")), pa.array(at), pa.array(count)], ["role", "pair", "n"])
-
-
-def _shard(table: pa.Table, kept_only: bool) -> tuple[np.ndarray, ...]:
-    """All occurrences of a shard with their word's count and its count in their context, over the texts counted."""
-    columns = [np.concatenate(x) for x in zip(*[unpack(b) for b in table.column("blob").to_pylist()], strict=True)]
-    key, h, context, times, role = columns
-    order = np.lexsort((context, h))
-    key, h, context, times, role = (x[order] for x in (key, h, context, times, role))
-    counted = np.where(role == 2 if kept_only else role > 0, times, 0)
-    new = h[1:] != h[:-1]
-    word = np.cumsum(np.concatenate(([False], new)), dtype="int32")
-    pair = np.cumsum(np.concatenate(([False], new | (context[1:] != context[:-1]))), dtype="int32")
-    return key, context, times, role, np.bincount(pair, counted).astype("int64")[pair], np.bincount(word, counted).astype("int64")[word]
-
-
-def _held_out_cells(model: Model):
-    def run(group: pa.Table) -> pa.Table:
-        _, context, times, role, pair, word = _shard(group, True)
-        d = role == 1
-        grid = cells(model.buckets(model.kept_context, model.kept_n)[context[d]], pair[d] / np.maximum(model.kept_context[context[d]], 1), word[d] / max(model.kept_n, 1), times[d].astype("float64"))
-        return pa.table({"cell": pa.array(list(grid), pa.int64()), **{c: pa.array([v[i] for v in grid.values()], pa.float64()) for i, c in enumerate(("w", "s2", "s1"))}})
-
-    return run
-
-
-def _shard_scores(model: Model):
-    def run(group: pa.Table) -> pa.Table:
-        key, context, times, _, pair, word = _shard(group, False)
-        docs, back = np.unique(key, return_inverse=True)
-        sums = [np.bincount(back, times * x, len(docs)) for x in (word > 0, model.base(word), np.log10(model.probability(context, pair, word)))]
-        return pa.table({"k": docs, "known": sums[0].astype("int64"), "base": sums[1], "score": sums[2]})
-
-    return run
-
-
-def _common_scores(model: Model, id_type: pa.DataType):
-    """What each text's frequent words give, where all that is needed is at hand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(3).to_pylist():
-                h, place, context = model.tokens(text)
-                common = place >= 0
-                place, context = place[common], context[common]
-                p = model.probability(context, model.pairs[context * model.f + place] if model.f else context, model.count[place] if model.f else context)
-                out.append((len(h), len(place), float(model.base(model.count[place]).sum()) if model.f else 0.0, float(np.log10(p).sum())))
-            n, known, base, score = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                ["k", "doc_id", "fold", "n_tokens", "known", "base", "score"],
-            )
+def _scores(weights: np.ndarray, n: int, v: int, id_type: pa.DataType):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, folds, columns = [], np.empty(0, "int64"), [np.empty(0)] * 4
+        if texts.num_rows:
+            b, folds = _opened_block(texts)
+            ids = texts.column("ids")[0].as_py()
+            word, pair, context = b.placed(np.concatenate([_opened(x, "uint32")[0] for x in _in_order(answers)]))
+            at, starts = context[b.first], np.concatenate(([0], b.ends[:-1]))
+            w = weights[buckets(at, b.first == len(b.words), n)]
+            p = np.log10(w[:, 0] * pair / np.maximum(at, 1) + w[:, 1] * word[b.second] / max(n, 1) + w[:, 2] / (v + 1))
+            base = np.log10((word + 0.1) / (n + 0.1 * (v + 1)))
+            each = ((word > 0).astype("int64")[b.token], base[b.token], p[np.searchsorted(b.pairs, b.pair_of)])
+            columns = [np.diff(b.ends, prepend=0), *(np.add.reduceat(x, starts) for x in each)]
+        kinds = ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())
+        return pa.table({"doc_id": pa.array(ids, id_type), "fold": pa.array(folds, pa.int32()), **{name: pa.array(x.astype(kind.to_pandas_dtype())) for x, (name, kind) in zip(columns, kinds, strict=True)}})
 
     return run
 
@@ -276,78 +323,39 @@ def _common_scores(model: Model, id_type: pa.DataType):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``.
 
-    p(w | context) = a c(context, w) / c(context) + b c(w) / N + c / (V + 1), the weights by the bucket of the context's share of
-    all tokens, learnt on the fold left out of the counts, which are then taken over all training texts.  The weights are learnt on a
-    grid of the two estimates whose cells hold sums over all held-out tokens, so that the driver gets a table of a fixed size.
+    Tokens are the words of the text, A-Z as a-z, and one end.  Counts are those of all texts out of fold 0; the weights are learnt on
+    fold 1 against the counts of folds 2 to 9.  Contexts are the word before; the start of a text, and words that no training text
+    has, have buckets of their own.  score is the sum of log10 p over the text, base_score that of unigrams with 0.1 added to each count.
 
-    A null text is empty and is one token, the end.  Null ids count as the empty text for the fold; rows equal in id and text
-    count each, and get the same scores; an empty table gives an empty one; without training texts every token has the chance
-    1 / (V + 1); further columns are ignored.
+    A null text is empty (its end only); null ids are the empty text for the folds; rows that repeat count and are scored each;
+    without training texts all counts are zero; an empty table gives an empty one; further columns are ignored.
     """
     spark = docs.sparkSession
     byte_batches(spark)
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    id_type = rows.schema["doc_id"].dataType
-    rows = rows.select(F.xxhash64("text", F.col("doc_id").isNull(), "doc_id").alias("k"), "doc_id", fold_of(F.col("doc_id")).cast("int").alias("fold"), "text")
-
-    hashes = F.concat(F.transform(words_of(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
-    words = durable(rows.filter("fold != 0").select("fold", F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.count_if(F.col("fold") > 1).alias("kept")), "words")
-    is_end = F.col("h") == F.lit(word_hash(END))
-    n, v, kept_n, texts, kept_texts = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.sum("kept"), F.sum(F.when(is_end, F.col("c"))), F.sum(F.when(is_end, F.col("kept")))).first())
-    frequent = [(r.h, r.c) for r in words.filter(F.col("c") * FREQUENT >= n).collect()]
-    model = Model(frequent, n, v)
-
-    shards = max(1, -(-n // SHARD_ROWS))
-    packed = durable(rows.select("k", "fold", "text").mapInArrow(_pack_rows(model, shards), "shard int, blob binary"), "packed")
-    counts = packed.filter("shard < 0").select("blob").mapInArrow(_pair_rows, "role int, pair long, n long").groupBy("role", "pair").agg(F.sum("n").alias("n")).toArrow()
-    kept, deleted = (np.zeros((model.f + 2) * model.f, "int64") for _ in range(2))
-    for role, pair, c in zip(*[counts.column(i).to_numpy() for i in range(3)], strict=True):
-        (deleted if role == 1 else kept)[pair] += c
-    model.pairs = kept + deleted
-    _contexts(model, kept, kept_n, texts, kept_texts)
-
-    rare = packed.filter("shard >= 0")
-    grid: dict[int, list[float]] = {}
-    for r in rare.groupBy("shard").applyInArrow(_held_out_cells(model), "cell long, w double, s2 double, s1 double").groupBy("cell").agg(F.sum("w"), F.sum("s2"), F.sum("s1")).collect():
-        grid[r[0]] = [r[1], r[2], r[3]]
-    at = np.flatnonzero(deleted)
-    if len(at):
-        context, place = at // model.f, at % model.f
-        per_word = kept.reshape(model.f + 2, model.f).sum(axis=0)
-        common = cells(model.buckets(model.kept_context, model.kept_n)[context], kept[at] / np.maximum(model.kept_context[context], 1), per_word[place] / max(model.kept_n, 1), deleted[at].astype("float64"))
-        for k, x in common.items():
-            grid[k] = [a + b for a, b in zip(grid.get(k, [0.0] * 3), x, strict=True)]
-    model.weights = learn_weights(grid, FREQUENT.bit_length() + 3, v)
+    rows = narrow(docs, doc_id=id_col, text=text_col)
+    kind, id_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = rows.select("doc_id", fold_of(F.col("doc_id")).cast("int").alias("fold"), text.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+
+    made = durable(rows.mapInArrow(_blocks(shards, id_type), f"block long, shard int, deleted boolean, blob binary, ids array<{kind}>, folds array<int>"), "blocks")
+    asked = made.filter("shard >= 0").select("block", "shard", "deleted", "blob")
+    answers = durable(asked.groupBy("shard").applyInArrow(_answers, "block long, shard int, blob binary, n long, kept_n long, v long"), "answers")
+    n, kept_n, v = (x or 0 for x in answers.filter("block IS NULL").agg(F.sum("n"), F.sum("kept_n"), F.sum("v")).first())
+    texts = durable(made.filter("shard < 0").select("block", "deleted", "blob", "ids", "folds"), "texts")
+    forget(made)
+    release(spark)
 
+    told = answers.filter("block IS NOT NULL").select("block", "shard", "blob")
+    learnt = texts.filter("deleted")
+    mine = told.join(learnt.select("block"), "block", "left_semi")
+    found = learnt.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_deleted_cells(kept_n), "cell long, w double, s2 double, s1 double")
+    grid = {r[0]: [r[1], r[2], r[3]] for r in found.groupBy("cell").agg(F.sum("w"), F.sum("s2"), F.sum("s1")).collect()}
+    weights = learn_weights(grid, UNSEEN + 1, v)
     release(spark)
-    mine = durable(rows.mapInArrow(_common_scores(model, to_arrow_type(id_type)), f"k long, doc_id {id_type.simpleString()}, fold int, n_tokens long, known long, base double, score double"), "common")
-    others = rare.groupBy("shard").applyInArrow(_shard_scores(model), "k long, known long, base double, score double").groupBy("k").agg(F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), F.sum("score").alias("r_score"))
-    # Rows equal in id and text added up to one sum.
-    times = mine.groupBy("k").agg(F.count("*").alias("m"))
-    both = mine.join(others.join(times, "k"), "k", "left")
-    zero = F.lit(0.0)
-    return both.select(
-        "doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce(F.expr("r_known div m"), F.lit(0).cast("long"))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce(F.col("r_base") / F.col("m"), zero)).alias("base_score"), (F.col("score") + F.coalesce(F.col("r_score") / F.col("m"), zero)).alias("score"),
-    )
-
-
-def _contexts(model: Model, kept_pairs: np.ndarray, kept_n: int, texts: int, kept_texts: int) -> None:
-    """How often each context is followed by a token: as often as its word occurs, but for the end, which nothing follows."""
-    end = int(model.numbers(np.array([word_hash(END)]))[0])
-
-    def of(words: np.ndarray, n: int, starts: int) -> np.ndarray:
-        out = np.zeros(model.f + 2, "int64")
-        out[: model.f] = words
-        if end >= 0:
-            out[end] = 0
-        out[model.f + 1] = starts
-        out[model.f] = n - out.sum()
-        return out
 
-    model.context = of(model.count, model.n, texts)
-    # A frequent word is in the pairs with every context it has.
-    model.kept_context = of(kept_pairs.reshape(model.f + 2, model.f).sum(axis=0), kept_n, kept_texts)
-    model.kept_n = kept_n
+    scored = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(weights, n, v, id_type), f"doc_id {kind}, fold int, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from palimpsest.llm import lm_scoring, mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, token_counts, topk, toxicity
+from palimpsest.llm import mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, token_counts, topk, toxicity
 from palimpsest.llm.dart_minhash import signature
 from palimpsest.llm.tokens import Pieces, safe_segments
 
@@ -122,49 +122,6 @@ def test_mixing_in_several_levels_keeps_expectations(spark):
     assert runs[0] != runs[1]
 
 
-# 3
-
-
-def test_lm_scores_by_brute_force(spark, docs, odd, none, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SHARD_ROWS", 20_000)
-    models, inner = [], lm_scoring._common_scores
-    monkeypatch.setattr(lm_scoring, "_common_scores", lambda m, t: models.append(m) or inner(m, t))
-    got = [r.asDict() for r in lm_scoring.score(docs.unionByName(odd.select(docs.columns))).collect()]
-    m = models[0]
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [r[:2] for r in ROWS]
-    tokens = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    c = Counter(w for i, t in tokens if not held(i) for w in t)
-    n, v = sum(c.values()), len(c)
-    frequent = {w for w in c if c[w] * lm_scoring.FREQUENT >= n}
-    assert len(frequent) <= lm_scoring.FREQUENT
-    contexts = lambda t: ["start", *[w if w in frequent else "rare" for w in t[:-1]]]
-    pair = Counter(p for i, t in tokens if not held(i) for p in zip(contexts(t), t, strict=True))
-    context = Counter(x for i, t in tokens if not held(i) for x in contexts(t))
-    place = {int(k): j for j, k in enumerate(m.keys)}
-    bucket = m.buckets(m.context, m.n)
-    want = []
-    for i, t in tokens:
-        base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        s = 0.0
-        for x, w in zip(contexts(t), t, strict=True):
-            a, b, d = m.weights[bucket[m.f + 1 if x == "start" else m.f if x == "rare" else place[lm_scoring.word_hash(x)]]]
-            s += np.log10(a * pair[x, w] / max(context[x], 1) + b * c[w] / n + d / (v + 1))
-        want.append((str(i), held(i), len(t), sum(c[w] > 0 for w in t), n, round(base, 5), round(s, 5)))
-    assert sorted((str(g["doc_id"]), g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 5), round(g["score"], 5)) for g in got) == sorted(want)
-    assert sum(g["score"] for g in got if g["held_out"]) > sum(g["base_score"] for g in got if g["held_out"])
-    assert lm_scoring.score(none).count() == 0
-
-
-def test_expectation_maximisation_finds_the_mixture():
-    rng = np.random.default_rng(0)
-    p2, p1 = rng.uniform(0, 0.5, 4000), rng.uniform(0, 0.1, 4000)
-    grid = lm_scoring.cells(np.zeros(4000, "int64"), p2, p1, np.ones(4000))
-    w = lm_scoring.learn_weights(grid, 2, 1000)
-    like = lambda w: np.log(w[0] * p2 + w[1] * p1 + w[2] / 1001).sum()
-    assert w[0].sum() == pytest.approx(1) and like(w[0]) > like(np.array([0.5, 0.3, 0.2])) and (w[1] == 1 / 3).all()
-
-
 # 4
 
 
