@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, durable, forget, narrow, release
+from .common import byte_batches, durable, narrow, release
 from .dart_minhash import mix
 
 #: Folds by crc32 of the id: 0 is held out, 1 is deleted (for the weights), the rest and 1 give the counts.
@@ -171,21 +171,14 @@ def _opened(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _blocks(shards: int, id_type: pa.DataType):
-    """Rows (block, shard, deleted, blob, ids): questions; and with shard -1 the texts of a block and the ids and folds of its rows."""
-    names = ["block", "shard", "deleted", "blob", "ids", "folds"]
+def _blocks(id_type: pa.DataType):
+    """Rows (block, deleted, blob, ids, folds): the texts of a block, and the ids and folds of its rows."""
 
-    def rows(block: int, shard: list[int], deleted: bool, blobs: list[bytes], ids: list, folds: list) -> pa.RecordBatch:
-        k = len(shard)
-        columns = [pa.array([block] * k, pa.int64()), pa.array(shard, pa.int32()), pa.array([deleted] * k), pa.array(blobs, pa.binary()), pa.array(ids, pa.list_(id_type)), pa.array(folds, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    def closed(number: int, deleted: bool, texts: list[bytes], ids: list, folds: list[int]) -> Iterator[pa.RecordBatch]:
+    def closed(number: int, deleted: bool, texts: list[bytes], ids: list, folds: list[int]) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], "uint32")
-        text = struct.pack("<I", len(texts)) + zstandard.ZstdCompressor(level=1).compress(lengths.tobytes() + b"".join(texts))
-        yield rows(number, [-1], deleted, [text], [ids], [folds])
-        asked = [(s, _squeezed(np.diff(k, prepend=np.uint64(0)), n.astype("uint32"))) for s, k, n in Block(texts, np.array(folds) > 0).questions(shards)]
-        yield rows(number, [s for s, _ in asked], deleted, [b for _, b in asked], [None] * len(asked), [None] * len(asked))
+        blob = struct.pack("<I", len(texts)) + zstandard.ZstdCompressor(level=1).compress(lengths.tobytes() + b"".join(texts))
+        columns = [pa.array([number], pa.int64()), pa.array([deleted]), pa.array([blob], pa.binary()), pa.array([ids], pa.list_(id_type)), pa.array([folds], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "deleted", "blob", "ids", "folds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Attempts at a task give its blocks the same numbers.
@@ -199,16 +192,39 @@ def _blocks(shards: int, id_type: pa.DataType):
                 mine[3] += len(text) + 1
                 if mine[3] >= BLOCK_BYTES:
                     held[fold == 1] = [[], [], [], 0]
-                    yield from closed(number, fold == 1, *mine[:3])
+                    yield closed(number, fold == 1, *mine[:3])
                     number += 1
         for deleted, mine in held.items():
             if mine[0]:
-                yield from closed(number, deleted, *mine[:3])
+                yield closed(number, deleted, *mine[:3])
                 number += 1
 
     return run
 
 
+def _opened_block(blob: bytes, folds: list[int]) -> Block:
+    (n,) = struct.unpack_from("<I", blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
+    ends = 4 * n + np.cumsum(np.frombuffer(raw, "uint32", n), dtype="int64")
+    return Block([raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.array(folds) > 0)
+
+
+def _questions(shards: int):
+    """Rows (block, shard, deleted, blob): what a block asks of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, deleted, blob, folds = (batch.column(i)[row].as_py() for i in range(4))
+                asked = [(s, _squeezed(np.diff(k, prepend=np.uint64(0)), n.astype("uint32"))) for s, k, n in _opened_block(blob, folds).questions(shards)]
+                k = len(asked)
+                columns = [pa.array([block] * k, pa.int64()), pa.array([s for s, _ in asked], pa.int32()), pa.array([deleted] * k), pa.array([b for _, b in asked], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "deleted", "blob"])
+                pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def _answers(asked: pa.Table) -> pa.Table:
     """Of one shard: for each block the counts of its keys; and one row (block null) of the shard's sums N, kept N and V."""
     blocks, deleted, out = asked.column("block").to_pylist(), asked.column("deleted").to_pylist(), []
@@ -238,14 +254,6 @@ def _answers(asked: pa.Table) -> pa.Table:
     return pa.table([*columns, *(pa.array([None] * len(out) + [s], pa.int64()) for s in sums)], names=["block", "shard", "blob", "n", "kept_n", "v"])
 
 
-def _opened_block(texts: pa.Table) -> tuple[Block, np.ndarray]:
-    blob, folds = texts.column("blob")[0].as_py(), np.array(texts.column("folds")[0].as_py())
-    (n,) = struct.unpack_from("<I", blob)
-    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
-    ends = 4 * n + np.cumsum(np.frombuffer(raw, "uint32", n), dtype="int64")
-    return Block([raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)], folds > 0), folds
-
-
 def _in_order(answers: pa.Table) -> list[bytes]:
     return [b for _, b in sorted(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
 
@@ -292,7 +300,7 @@ def _deleted_cells(kept_n: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grid = {}
         if texts.num_rows:
-            b, _ = _opened_block(texts)
+            b = _opened_block(texts.column("blob")[0].as_py(), texts.column("folds")[0].as_py())
             word, pair, context = b.placed(np.concatenate([_opened(x, "uint32", "uint32")[1] for x in _in_order(answers)]))
             at = context[b.first]
             grid = cells(buckets(at, b.first == len(b.words), kept_n), pair / np.maximum(at, 1), word[b.second] / max(kept_n, 1), b.n_pair.astype("float64"))
@@ -305,8 +313,8 @@ def _scores(weights: np.ndarray, n: int, v: int, id_type: pa.DataType):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, folds, columns = [], np.empty(0, "int64"), [np.empty(0)] * 4
         if texts.num_rows:
-            b, folds = _opened_block(texts)
-            ids = texts.column("ids")[0].as_py()
+            ids, folds = texts.column("ids")[0].as_py(), np.array(texts.column("folds")[0].as_py())
+            b = _opened_block(texts.column("blob")[0].as_py(), folds)
             word, pair, context = b.placed(np.concatenate([_opened(x, "uint32")[0] for x in _in_order(answers)]))
             at, starts = context[b.first], np.concatenate(([0], b.ends[:-1]))
             w = weights[buckets(at, b.first == len(b.words), n)]
@@ -341,12 +349,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
 
-    made = durable(rows.mapInArrow(_blocks(shards, id_type), f"block long, shard int, deleted boolean, blob binary, ids array<{kind}>, folds array<int>"), "blocks")
-    asked = made.filter("shard >= 0").select("block", "shard", "deleted", "blob")
+    texts = durable(rows.mapInArrow(_blocks(id_type), f"block long, deleted boolean, blob binary, ids array<{kind}>, folds array<int>"), "texts")
+    asked = texts.select("block", "deleted", "blob", "folds").mapInArrow(_questions(shards), "block long, shard int, deleted boolean, blob binary")
     answers = durable(asked.groupBy("shard").applyInArrow(_answers, "block long, shard int, blob binary, n long, kept_n long, v long"), "answers")
     n, kept_n, v = (x or 0 for x in answers.filter("block IS NULL").agg(F.sum("n"), F.sum("kept_n"), F.sum("v")).first())
-    texts = durable(made.filter("shard < 0").select("block", "deleted", "blob", "ids", "folds"), "texts")
-    forget(made)
+    del asked
     release(spark)
 
     told = answers.filter("block IS NOT NULL").select("block", "shard", "blob")
