@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import durable, forget, narrow
 
 #: Folds of the contract: crc32 of the id as text, modulo this; fold 0 is held out.
 FOLDS = 5
@@ -19,18 +19,28 @@ def held_out(doc_id, folds: int = FOLDS):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str], np.ndarray]:
-    """At most ``limit`` labelled texts out of the folds to learn from, chosen by a hash of the id, in its order.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
+    """At most ``limit`` labelled texts of ``max_bytes`` bytes together, out of the folds to learn from, chosen by a hash of the id, in its order.
 
     Only the ids of the chosen labels go to the executors: a table of ``limit`` rows at most.  An id with several labels has the
-    largest; null labels are none.
+    largest, one with several texts the least; null labels are none.  Of the texts, taken in order, one that does not fit any more is left out.
+    Nothing else comes to the driver.
     """
     y = narrow(labels, doc_id="doc_id", y=label).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     chosen = y.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    got = narrow(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True))[:limit]
-    return [r[1] for r in rows], np.array([r[2] for r in rows], "float64")
+    at = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = chosen.orderBy(at, "doc_id").limit(limit)
+    texts = narrow(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = durable(texts.select(at.alias("at"), "doc_id", "y", F.octet_length("text").alias("size"), "text"), "sample")
+    fits, left = [], max_bytes
+    for r in sorted(sample.select("at", "doc_id", "size").toArrow().to_pylist(), key=lambda r: (r["at"], r["doc_id"])):
+        if r["size"] <= left:
+            fits.append(r["doc_id"])
+            left -= r["size"]
+    rows = sample.filter(F.col("doc_id").isin(fits)).select("at", "doc_id", "text", "y").toArrow().to_pylist()
+    forget(sample)
+    rows.sort(key=lambda r: (r["at"], r["doc_id"]))
+    return [r["text"] for r in rows], np.array([r["y"] for r in rows], "float64")
 
 
 def sigmoid(x):

@@ -14,56 +14,38 @@ from pyspark.sql import functions as F
 from .common import byte_batches, narrow
 from .learning import Memory, held_out, sigmoid, training_sample
 
-#: Labelled texts learnt from, at most.
-MAX_TRAIN = 4_000
+#: Labelled texts learnt from, and their bytes, at most.
+MAX_TRAIN, MAX_BYTES = 4_000, 12 << 20
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 LENGTHS = (3, 4)
 EPOCHS = 4
-#: Stands for a word that is the one before it again.
+#: The word 2-gram of a word that is the one before it again, whatever the word: it has a vector of its own, beside the word's.
 SAME = "<same word>"
-#: Longer words, as of text without spaces, are hashed by arrays of so many bytes.
-LONG, CHUNK = 64, 1 << 18
-_CRC = np.arange(256, dtype="uint32")
-for _ in range(8):
-    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ 0xEDB88320, _CRC >> 1).astype("uint32")
+#: Words of more characters are hashed bit by bit and not remembered.
+LONG = 64
 
 
-def marked(word: str) -> bytes:
-    return b"<" + word.encode("utf-8", "surrogatepass") + b">"
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
-def subwords(word: str) -> list[int] | np.ndarray:
-    """Buckets of a word: the whole, and its byte n-grams between marks at its ends, all of them."""
-    b = marked(word)
-    if len(b) > LONG:
-        return np.concatenate(list(subwords_of_long(b)))
-    return [zlib.crc32(b) & (BUCKETS - 1), *subwords_of(b)]
-
-
-def subwords_of_long(b: bytes) -> Iterator[np.ndarray]:
-    """The same buckets, in arrays of bounded size."""
-    yield np.array([zlib.crc32(b) & (BUCKETS - 1)], "uint16")
-    x = np.frombuffer(b, "uint8")
+def subwords(word: str) -> Iterator[int]:
+    """Buckets of a word: the whole, and the n-grams of its characters between marks at its ends, all of them."""
+    marked = f"<{word}>"
+    yield bucket(marked)
     for n in LENGTHS:
-        for at in range(0, len(x) - n + 1, CHUNK):
-            some = x[at : at + CHUNK + n - 1]
-            c = np.full(len(some) - n + 1, 0xFFFFFFFF, "uint32")
-            for i in range(n):
-                c = _CRC[(c ^ some[i : i + len(c)]) & 0xFF] ^ (c >> np.uint32(8))
-            yield (~c & np.uint32(BUCKETS - 1)).astype("uint16")
-
-
-def subwords_of(b: bytes) -> list[int]:
-    return [zlib.crc32(b[i : i + n]) & (BUCKETS - 1) for n in LENGTHS for i in range(len(b) - n + 1)]
+        for i in range(len(marked) - n + 1):
+            yield bucket(marked[i : i + n])
 
 
 def with_repeats(words: list[str]) -> list[str]:
-    return [SAME if a == b else a for a, b in zip(words, ["", *words], strict=False)]
+    """The words, and `SAME` for each that repeats the one before."""
+    return words + [SAME] * sum(map(eq, words, words[1:]))
 
 
 class SubwordClassifier:
-    """A document is the mean of its words' vectors, a word the mean of its buckets' vectors; then two softmax outputs."""
+    """A document is the mean of its words' vectors, with those of repeats; a word is the mean of its buckets' vectors; then two softmax outputs."""
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -79,7 +61,7 @@ class SubwordClassifier:
             for w in with_repeats(t.split()):
                 if w not in number:
                     number[w] = len(parts)
-                    parts.append(np.array(subwords(w), "uint16"))
+                    parts.append(np.fromiter(subwords(w), "uint16"))
                 ids.append(number[w])
             docs.append(np.unique(np.array(ids, "int64"), return_counts=True))
         keep = [i for i, (ids, _) in enumerate(docs) if len(ids)]
@@ -123,15 +105,15 @@ class SubwordClassifier:
 
 
 def _score(buckets: list[float], bias: float):
-    margins = np.array(buckets)
-
     def of(word: str) -> float:
-        # A character has four bytes at most; the marks are two.
-        if 4 * len(word) + 2 > LONG and len(b := marked(word)) > LONG:
-            sums = [(margins[x].sum(), len(x)) for x in subwords_of_long(b)]
-            return float(sum(s for s, _ in sums) / sum(n for _, n in sums))
-        parts = subwords(word)
-        return sum(map(buckets.__getitem__, parts)) / len(parts)
+        if len(word) <= LONG:
+            parts = list(map(buckets.__getitem__, subwords(word)))
+            return sum(parts) / len(parts)
+        total, n = 0.0, 0
+        for b in subwords(word):
+            total += buckets[b]
+            n += 1
+        return total / n
 
     memory = Memory(of)
 
@@ -139,9 +121,7 @@ def _score(buckets: list[float], bias: float):
         for batch in batches:
             z = []
             for text in batch.column(1).to_pylist():
-                words = text.split()
-                if any(map(eq, words, words[1:])):
-                    words = with_repeats(words)
+                words = with_repeats(text.split())
                 z.append(bias + (sum(map(memory.__getitem__, words)) / len(words) if words else 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(np.array(z, "float64")), pa.float64())], ["doc_id", "score"])
 
@@ -156,7 +136,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_trai
     further columns are ignored.
     """
     byte_batches(docs.sparkSession)
-    model = SubwordClassifier().fit(*training_sample(docs, labels, "quality", max_train))
+    model = SubwordClassifier().fit(*training_sample(docs, labels, "quality", max_train, MAX_BYTES))
     rows = narrow(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scored = rows.mapInArrow(_score(*model.margins()), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -14,114 +14,111 @@ from pyspark.sql.types import StructField, StructType
 from .common import byte_batches, narrow
 from .learning import Memory, held_out, sigmoid, training_sample
 
-#: Labelled texts learnt from, at most.
-MAX_TRAIN = 12_000
-#: Terms with weights, at most: those whose share of toxic texts is least like chance, by chi square.
-MAX_TERMS = 4096
-MIN_DF, MIN_CHI2 = 5, 12.0
+#: Labelled texts learnt from, and their bytes, at most.
+MAX_TRAIN, MAX_BYTES = 8_000, 24 << 20
+#: Places of the table that all terms are hashed into.
+TABLE = 1 << 18
 FACTORS = 8
-EPOCHS = 10
-#: Few texts are gone through more often: for so many steps at least.
-MIN_STEPS, BATCH = 900, 128
+#: Texts are gone through so often, few texts more often, for so many steps at least.
+EPOCHS, MIN_STEPS, BATCH = 5, 320, 64
+#: A text's terms have the values `SCALE` / sqrt(number of its terms).
+SCALE = 4.0
+#: Steps and penalties: of the weights, and of the factors.
+RATE, LASSO, FACTOR_RATE, FACTOR_DECAY, SPREAD = 10.0, 2.0, 0.02, 1e-3, 0.02
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_=+~`/\\«»¿¡…"
 
 
-def term_hashes(word: str) -> tuple[int, ...]:
-    """31-bit hashes of a word's terms: itself without punctuation at its ends, and its first four and five letters."""
+def term_places(word: str) -> tuple[int, ...]:
+    """Places of a word's terms: itself without punctuation at its ends, and its first four and five letters."""
     word = word.strip(EDGES)
     if not word:
         return ()
-    return tuple({zlib.crc32(t.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF for t in (word, word[:4] + "+", word[:5] + "+")})
+    return tuple({zlib.crc32(t.encode("utf-8", "surrogatepass")) % TABLE for t in (word, word[:4] + "+", word[:5] + "+")})
+
+
+def terms_of(text: str, memory: Memory) -> list[int]:
+    """Places of all terms of a text, each once, in order."""
+    return sorted(set().union(*map(memory.__getitem__, set(text.lower().split()))))
 
 
 class FactorizationMachine:
-    """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x_i = 1 for a term that is there.
+    """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j); x_i is the same for all terms of a text.
 
     The sum over pairs is ((sum v_i x_i)^2 - sum (v_i x_i)^2) / 2, summed over factors, so a text costs its number of terms.
+    Every term has a weight and factors from the start, whether it tells anything alone or not.
     """
 
-    def __init__(self, keys: np.ndarray, seed: int = 1):
-        self.keys = np.sort(keys)
-        self.w0, self.w = 0.0, np.zeros(len(keys), "float32")
-        self.v = (np.random.default_rng(seed).standard_normal((len(keys), FACTORS)) * 0.02).astype("float32")
+    def __init__(self, size: int = TABLE, seed: int = 1):
+        self.w0, self.w = 0.0, np.zeros(size, "float32")
+        self.v = np.random.default_rng(seed).standard_normal((size, FACTORS), dtype="float32") * np.float32(SPREAD)
 
     def logits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """``flat``: term numbers of the texts one after the other; ``ends``: where each text's end."""
-        starts = np.concatenate(([0], ends[:-1]))
-        v = self.v[flat]
-        each = np.concatenate((self.w[flat][:, None], v, v * v), axis=1, dtype="float64")
-        # A running sum with differences also serves texts without terms.
-        total = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)))
-        s = total[ends] - total[starts]
-        return self.w0 + s[:, 0] + 0.5 * (s[:, 1 : 1 + FACTORS] ** 2 - s[:, 1 + FACTORS :]).sum(axis=1)
-
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.04, decay: float = 1e-4, seed: int = 2) -> FactorizationMachine:
-        """Stochastic gradient descent on the logistic loss, with a step for each weight that shrinks with its gradients."""
+        """``flat``: places of the texts' terms one after the other; ``ends``: where each text's end."""
+        out, starts = np.full(len(ends), self.w0), np.concatenate(([0], ends[:-1]))
+        has = np.flatnonzero(ends > starts)
+        if len(has):
+            x = SCALE / np.sqrt(ends[has] - starts[has])
+            v = self.v[flat]
+            each = np.concatenate((self.w[flat][:, None], v, (v * v).sum(axis=1, keepdims=True)), axis=1, dtype="float64")
+            s = np.add.reduceat(each, starts[has], axis=0)
+            out[has] += x * s[:, 0] + 0.5 * x * x * ((s[:, 1 : 1 + FACTORS] ** 2).sum(axis=1) - s[:, -1])
+        return out
+
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> FactorizationMachine:
+        """Gradient descent on the logistic loss: the weights by follow-the-regularised-leader with a lasso, which leaves those of noise at zero, the factors by steps
+        that shrink with their gradients."""
+        if not len(y):
+            return self
         rng = np.random.default_rng(seed)
-        gw, gv, g0 = np.full(len(self.w), 1e-5, "float32"), np.full(len(self.w), 1e-5, "float32"), 1e-2
-        self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else 0.0
-        for _ in range(max(epochs, -(-MIN_STEPS // -(-len(texts) // BATCH))) if len(y) else 0):
-            order = rng.permutation(len(texts))
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
-                sizes = np.array([len(texts[i]) for i in some])
-                flat, doc = np.concatenate([texts[i] for i in some]), np.repeat(np.arange(len(some)), sizes)
-                v = self.v[flat]
-                sums = np.stack([np.bincount(doc, v[:, f], len(some)) for f in range(FACTORS)], axis=1)
-                linear = np.bincount(doc, self.w[flat], len(some))
-                z = self.w0 + linear + 0.5 * ((sums**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), len(some)))
-                err = (sigmoid(z) - y[some]) / len(some)
-                e = err[doc].astype("float32")
-                terms, back = np.unique(flat, return_inverse=True)
-                dw = np.bincount(back, e, len(terms)) + decay * self.w[terms]
-                each = e[:, None] * (sums[doc] - v)
-                dv = np.stack([np.bincount(back, each[:, f], len(terms)) for f in range(FACTORS)], axis=1) + decay * self.v[terms]
-                gw[terms] += dw**2
-                gv[terms] += (dv**2).mean(axis=1)
-                g0 += float(err.sum()) ** 2
-                self.w[terms] -= rate * dw / np.sqrt(gw[terms])
-                self.v[terms] -= 0.2 * rate * dv / np.sqrt(gv[terms])[:, None]
-                self.w0 -= rate * float(err.sum()) / g0**0.5
+        self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+        full = [i for i in rng.permutation(len(texts)).tolist() if len(texts[i])]
+        batches = [self._batch([texts[i] for i in full[at : at + BATCH]], y[full[at : at + BATCH]]) for at in range(0, len(full), BATCH)]
+        lead, seen, g_v, g_0 = np.zeros(len(self.w)), np.zeros(len(self.w)), np.ones(len(self.w), "float32"), 1e-2
+        for _ in range(max(epochs, -(-MIN_STEPS // len(batches))) if batches else 0):
+            for k in rng.permutation(len(batches)).tolist():
+                terms, back, order, new, starts, doc, x, label = batches[k]
+                vx = self.v[terms][back] * x[doc][:, None]
+                sums = np.add.reduceat(vx, starts, axis=0)
+                z = self.w0 + np.add.reduceat(self.w[terms][back], starts) * x + 0.5 * ((sums**2).sum(axis=1) - np.add.reduceat((vx * vx).sum(axis=1), starts))
+                err = (sigmoid(z) - label).astype("float32")
+                e = (err * x)[doc]
+                g = np.add.reduceat(e[order], new).astype("float64")
+                step = (np.sqrt(seen[terms] + g * g) - np.sqrt(seen[terms])) / RATE
+                lead[terms] += g - step * self.w[terms]
+                seen[terms] += g * g
+                u = lead[terms]
+                self.w[terms] = np.where(np.abs(u) <= LASSO, 0, (np.sign(u) * LASSO - u) * RATE / (1 + np.sqrt(seen[terms])))
+                d = np.add.reduceat((e[:, None] * (sums[doc] - vx))[order], new, axis=0)
+                g_v[terms] += (d * d).mean(axis=1)
+                self.v[terms] -= FACTOR_RATE * (d + FACTOR_DECAY * self.v[terms]) / np.sqrt(g_v[terms])[:, None]
+                g_0 += float(err.sum()) ** 2
+                self.w0 -= 0.05 * float(err.sum()) / g_0**0.5
         return self
 
-    def number(self, h: int) -> int:
-        """Place of a term among those with weights, or -1."""
-        i = int(np.searchsorted(self.keys, h))
-        return i if i < len(self.keys) and self.keys[i] == h else -1
-
-    def numbers(self, word: str) -> tuple[int, ...]:
-        return tuple(i for i in map(self.number, term_hashes(word)) if i >= 0)
+    @staticmethod
+    def _batch(texts: list[np.ndarray], label: np.ndarray) -> tuple:
+        flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        terms, back = np.unique(flat, return_inverse=True)
+        order = np.argsort(back, kind="stable").astype("int32")
+        new = np.searchsorted(back[order], np.arange(len(terms)))
+        doc = np.repeat(np.arange(len(texts), dtype="int32"), sizes)
+        return terms, back.astype("int32"), order, new, np.cumsum(sizes) - sizes, doc, (SCALE / np.sqrt(sizes)).astype("float32"), label
 
 
 def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
-    hashed = Memory(term_hashes, 50_000)
+    memory = Memory(term_places, 50_000)
     # Flat arrays: as Python sets, the terms of all training texts would fill the driver's memory.
-    terms = [np.fromiter(found, "int32", len(found)) for found in (set().union(*map(hashed.__getitem__, set(t.lower().split()))) for t in texts)]
-    sizes = np.array([len(x) for x in terms], "int64")
-    some, place, n = np.unique(np.concatenate([np.empty(0, "int32"), *terms]), return_inverse=True, return_counts=True)
-    n1 = np.bincount(place, np.repeat(y, sizes), len(some))
-    share = y.mean() if len(y) else 0.0
-    told = (n1 - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9) / np.maximum(1 - n / max(len(y), 1), 1e-3)
-    told = np.where(n >= MIN_DF, told, 0)
-    best = [i for i in np.argsort(-told, kind="stable")[:MAX_TERMS].tolist() if told[i] >= MIN_CHI2]
-    fm = FactorizationMachine(some[best].astype("int64"))
-    number = np.full(len(some), -1)
-    number[np.sort(best).astype("int64")] = np.arange(len(best))
-    numbers, doc = number[place], np.repeat(np.arange(len(texts)), sizes)
-    with_weight = numbers >= 0
-    ends = np.searchsorted(doc[with_weight], np.arange(len(texts) + 1))
-    kept = numbers[with_weight]
-    return fm.fit([np.sort(kept[a:b]) for a, b in zip(ends, ends[1:], strict=False)], y)
+    return FactorizationMachine().fit([np.array(terms_of(t, memory), "int32") for t in texts], y)
 
 
 def _scorer(fm: FactorizationMachine):
     """Scores of a list of texts."""
-    memory = Memory(fm.numbers)
+    memory = Memory(term_places)
 
     def score(texts: list[str]) -> np.ndarray:
         flat, ends = [], []
         for text in texts:
-            flat.extend(sorted(set().union(*map(memory.__getitem__, set(text.lower().split())))))
+            flat.extend(terms_of(text, memory))
             ends.append(len(flat))
         return sigmoid(fm.logits(np.array(flat, "int64"), np.array(ends, "int64")))
 
@@ -142,12 +139,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_tra
     """(doc_id, held_out, score, predicted): one row per row of ``docs``; only its text is scored.
 
     Learns from at most ``max_train`` labelled texts out of held-out folds (`training_sample`).  Terms are a text's distinct words,
-    lower case and without punctuation at their ends, and their beginnings, hashed to 31 bits; those in few training texts, or as often in
-    toxic ones as chance has it, have no weight.  A null or empty text has no terms and gets the base rate; without labels all scores are 0.5; null or repeated
+    lower case and without punctuation at their ends, and their beginnings, all of them hashed into one table.  A null or empty text has
+    no terms and gets the base rate; without labels all scores are alike; null or repeated
     ids stay; an empty table gives an empty one; further columns are ignored.
     """
     byte_batches(docs.sparkSession)
-    fm = train(*training_sample(docs, labels, "toxic", max_train))
+    fm = train(*training_sample(docs, labels, "toxic", max_train, MAX_BYTES))
     rows = narrow(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scored = rows.mapInArrow(_score(fm), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -157,7 +154,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_t
     """The rows and all columns of ``docs`` whose text scores under ``threshold``, in one scan; training and cases as of `toxicity`."""
     byte_batches(docs.sparkSession)
     names = docs.columns
-    at, score = names.index("text"), _scorer(train(*training_sample(docs, labels, "toxic", max_train)))
+    at, score = names.index("text"), _scorer(train(*training_sample(docs, labels, "toxic", max_train, MAX_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

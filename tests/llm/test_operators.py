@@ -262,13 +262,67 @@ def test_labels_of_held_out_rows_teach_nothing(spark, docs, labels):
     assert a == b
 
 
-def test_machine_learns_a_pair_that_single_terms_miss():
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a != b], ids=["both", "one"])
+def test_training_learns_a_pair_that_single_terms_miss(toxic):
+    """Of texts with common words, those with an insult and a group's name are toxic, or those with one of them: alone the words tell little or nothing."""
     rng = np.random.default_rng(3)
-    texts = [np.array(sorted(x)) for x in ({int(i) for i in range(2) if rng.random() < 0.5} | {2} for _ in range(3000))]
-    y = np.array([float((0 in t) != (1 in t)) for t in texts])
-    fm = toxicity.FactorizationMachine(np.arange(3)).fit(texts, y, epochs=60, rate=0.1)
-    p = fm.logits(np.concatenate(texts), np.cumsum([len(t) for t in texts])) > 0
-    assert (p == y).mean() > 0.95
+    has = rng.random((3000, 2)) < 0.5
+    texts = [" ".join([*(f"w{i}" for i in rng.integers(0, 150, 15)), *(w for w, x in zip(("insult", "group"), h, strict=True) if x)]) for h in has]
+    y = np.array([float(toxic(*h)) for h in has])
+    fm = toxicity.train(texts[:2400], y[:2400])
+    assert ((toxicity._scorer(fm)(texts[2400:]) >= 0.5) == y[2400:]).mean() > 0.95
+
+
+def test_machine_scores_by_brute_force():
+    """Linear terms and all pairs, one by one, of texts as they are; terms that never trained count too."""
+    texts = ["Some words, here; and THERE.", "", "one", "é ü ! ?", "same same Same"]
+    fm = toxicity.FactorizationMachine()
+    rng = np.random.default_rng(5)
+    fm.w0, fm.w = -0.3, rng.normal(0, 1, toxicity.TABLE).astype("float32")
+    got = toxicity._scorer(fm)(texts)
+    for text, p in zip(texts, got, strict=True):
+        terms = set()
+        for word in text.lower().split():
+            if word := word.strip(toxicity.EDGES):
+                terms |= {zlib.crc32(t.encode()) % toxicity.TABLE for t in (word, word[:4] + "+", word[:5] + "+")}
+        x, z = toxicity.SCALE / max(len(terms), 1) ** 0.5, fm.w0
+        for i in terms:
+            z += fm.w[i] * x + sum(float(fm.v[i] @ fm.v[j]) * x * x for j in terms if j < i)
+        assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_quality_scores_by_brute_force(spark, docs, labels, odd, monkeypatch):
+    """Every text's vector as the mean of its words' vectors, through the softmax, from the learnt weights."""
+    models, inner = [], quality_classifier.SubwordClassifier.margins
+    monkeypatch.setattr(quality_classifier.SubwordClassifier, "margins", lambda m: models.append(m) or inner(m))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [r[:2] for r in ROWS if r[0] != 3]
+    got = Counter((r.doc_id, round(r.score, 5)) for r in quality_classifier.quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect())
+    m, want = models[0], Counter()
+    known = {}
+    for i, text in rows:
+        words = (text or "").split()
+        words += [quality_classifier.SAME for a, b in zip(words, words[1:], strict=False) if a == b]
+        for w in set(words) - known.keys():
+            marked = f"<{w}>"
+            grams = [marked] + [marked[i : i + n] for n in quality_classifier.LENGTHS for i in range(len(marked) - n + 1)]
+            known[w] = np.mean([m.e[zlib.crc32(g.encode()) & (quality_classifier.BUCKETS - 1)] for g in grams], axis=0, dtype="float64")
+        h = np.mean([known[w] for w in words], axis=0) if words else np.zeros(quality_classifier.DIMENSIONS)
+        z = h @ m.out + m.bias
+        want[i, round(float(np.exp(z[1]) / np.exp(z).sum()), 5)] += 1
+    assert got.keys() == want.keys() or sum((got - want).values()) <= 2  # a fifth digit may round the other way
+
+
+def test_training_sample_is_bounded(spark):
+    from palimpsest.llm.learning import training_sample
+
+    docs = spark.createDataFrame([(i % 300, "x" * (i % 7 + 1)) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 300, i % 2) for i in range(600)], "doc_id long, toxic int")
+    texts, y = training_sample(docs, labels, "toxic", 100, 10_000)
+    assert len(texts) == len(y) == 100
+    texts, _ = training_sample(docs, labels, "toxic", 100, 50)
+    assert sum(map(len, texts)) <= 50 and len(texts) > 10
+    again, _ = training_sample(docs.repartition(5), labels.repartition(3), "toxic", 100, 50)
+    assert texts == again
 
 
 # 10
@@ -341,8 +395,9 @@ def test_an_address_longer_than_a_window_is_whole():
 
 def test_all_of_a_long_word_counts(spark):
     for word in ("x" * 63, "日本語の文章" * 40, "ab" * 300_000):
-        b = b"<" + word.encode() + b">"
-        assert list(quality_classifier.subwords(word)) == [zlib.crc32(b) & 65535, *quality_classifier.subwords_of(b)]
+        m = f"<{word}>"
+        grams = [m, *(m[i : i + n] for n in (3, 4) for i in range(len(m) - n + 1))]
+        assert list(quality_classifier.subwords(word)) == [zlib.crc32(g.encode()) & 65535 for g in grams]
     ends = "同じ始まりと終わりの文" * 5, "同じ始まりと終わりの文" * 5
     rows = [(i, ends[0] + ("良い" if i % 2 else "悪い") * (20 + i % 7) + ends[1]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
