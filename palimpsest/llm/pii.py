@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .common import byte_batches, narrow
-from .pii_model import CLASSES, WINDOW, BiLstmCrf, encode, trained
+from .pii_model import WINDOW, BiLstmCrf, encode, trained
 from .pii_rules import _LOCAL, KINDS, base_spans, is_card, luhn
 
-#: All kinds have a digit or a sign for "at"; windows are cut around these.
+#: `plausible` lets no span of any kind pass that has neither a digit nor a sign for "at", so windows without one of these can't add a span and
+#: are left out; all others are read.
 TRIGGER = re.compile(r"[0-9]+|@|[(\[]at[)\]]")
 CONTEXT = 28
 #: Windows of a long stretch overlap by half.
 STRIDE = WINDOW // 2
 WINDOWS_AT_ONCE = 512
-#: Least mean margin of a span's labels.
-MARGIN = 0.25
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?:(?:\.|[(\[]dot[)\]])[A-Za-z0-9-]+)+")
 _DOMAIN_GOES_ON = re.compile(r"[A-Za-z0-9-]*(?:(?:\.|[(\[]dot[)\]])[A-Za-z0-9-]+)*")
@@ -45,6 +44,24 @@ def plausible(kind: int, found: str) -> bool:
     return bool(_PHONE.fullmatch(found)) and 9 <= len(digits) <= 15 and bool(re.search(r"[ ().-]", found)) and not (len(digits) >= 13 and luhn(digits))
 
 
+#: What a span is drawn in to, for each kind, where the labels reach a little further than the datum.
+_FORMATS = (_EMAIL, _IP, re.compile(r"[0-9](?:[ .-]?[0-9])+"), _PHONE)
+
+
+def snapped(text: str, kind: int, a: int, b: int, cut: bool) -> tuple[int, int]:
+    """A labelled stretch set to the ends of its words, then to the datum of that form within it."""
+    low, high = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
+    while a > low and text[a - 1].isalnum() and text[a].isalnum():
+        a -= 1
+    while b < high and text[b].isalnum() and text[b - 1].isalnum():
+        b += 1
+    found = _FORMATS[kind].search(text, a, b)
+    if found:
+        a, b = found.span()
+    # An address may be longer than any window; spans of other kinds are whole in another one.
+    return whole_address(text, a, b, cut) if kind == 0 and TRIGGER.search(text, a, b) else (a, b)
+
+
 def whole_address(text: str, a: int, b: int, cut: bool) -> tuple[int, int]:
     """An address found in a window, grown in the text: to the start of its local part, and on in its domain where it was cut."""
     while a > 0 and text[a - 1] in _LOCAL:
@@ -55,24 +72,32 @@ def whole_address(text: str, a: int, b: int, cut: bool) -> tuple[int, int]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """(start, end) of windows that cover every trigger with its context."""
-    out, start, end = [], -1, -1
+    """(start, end) of windows that together hold every trigger with its context, each `WINDOW` characters long where the text is.
+
+    Windows of a longer stretch overlap by half.
+    """
+    out, n = [], len(text)
 
-    def close() -> None:
-        if start >= 0:
-            at = start
-            while end - at > WINDOW:
-                out.append((at, at + WINDOW))
-                at += STRIDE
-            out.append((at, end))
+    def close(start: int, end: int) -> None:
+        spare = max(0, WINDOW - (end - start))
+        start = max(0, min(start - spare // 2, n - WINDOW))
+        out.append((start, min(n, start + WINDOW)))
+        while out[-1][1] < end:
+            start = min(start + STRIDE, n - WINDOW)
+            out.append((start, start + WINDOW))
 
+    start = end = -1
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if a > end:
-            close()
+        a, b = max(0, m.start() - CONTEXT), min(n, m.end() + CONTEXT)
+        # Stretches that would end up in one window, or meet, go together.
+        if start >= 0 and a > end and b - start > WINDOW:
+            close(start, end)
+            start = a
+        elif start < 0:
             start = a
         end = max(end, b)
-    close()
+    if start >= 0:
+        close(start, end)
     return out
 
 
@@ -113,13 +138,11 @@ def reconcile(base: list[tuple[int, int, int]], found: dict[tuple[int, int, int]
 def spans_in_windows(model: BiLstmCrf, texts: list[str], cut: list[tuple[int, int, int]]) -> list[dict]:
     """For each text: plausible spans with their weight, over all of its windows (text, start, end)."""
     found: list[dict] = [{} for _ in texts]
-    cut = sorted(cut, key=lambda c: c[2] - c[1])
-    for at in range(0, len(cut), WINDOWS_AT_ONCE):
-        some = cut[at : at + WINDOWS_AT_ONCE]
-        x = np.full((len(some), max(e - s for _, s, e in some)), CLASSES - 1)
-        for row, (t, s, e) in enumerate(some):
-            x[row, : e - s] = encode(texts[t][s:e])
-        labels, margins = model.decode(x)
+    by_length: dict[int, list] = {}
+    for c in cut:
+        by_length.setdefault(c[2] - c[1], []).append(c)
+    for some in (of[at : at + WINDOWS_AT_ONCE] for of in by_length.values() for at in range(0, len(of), WINDOWS_AT_ONCE)):
+        labels, margins = model.decode(np.stack([encode(texts[t][s:e]) for t, s, e in some]))
         for row in np.flatnonzero(labels.any(axis=1)).tolist():
             t, s, e = some[row]
             line = labels[row, : e - s].tolist()
@@ -134,16 +157,15 @@ def spans_in_windows(model: BiLstmCrf, texts: list[str], cut: list[tuple[int, in
                 a, b = s + i, s + j
                 margin = float(margins[row, i:j].mean())
                 at_end, i = j == len(line), j
-                while a < b and texts[t][a] in " ,;:!?":
-                    a += 1
-                while a < b and texts[t][b - 1] in " ,;:!?.":
-                    b -= 1
-                # An address may be longer than any window; spans of other kinds are whole in another one.
-                if k == 0 and a < b and TRIGGER.search(text := texts[t], a, b):
-                    a, b = whole_address(text, a, b, at_end)
+                # The labels say where something is; of which kind it is, its form may know better.
+                for k in (k, *(x for x in (2, 1, 3) if k > 0 and x != k)):
+                    place = snapped(texts[t], k, a, b, at_end)
+                    if plausible(k, texts[t][slice(*place)]):
+                        a, b = place
+                        break
                 alone = (a == 0 or not texts[t][a - 1].isalnum()) and (b == len(texts[t]) or not texts[t][b].isalnum())
-                if alone and margin >= MARGIN and plausible(k, texts[t][a:b]):
-                    found[t][k, a, b] = max(found[t].get((k, a, b), 0), margin * (b - a))
+                if alone and plausible(k, texts[t][a:b]):
+                    found[t][k, a, b] = max(found[t].get((k, a, b), 0), (1 + margin) * (b - a))
     return found
 
 
@@ -172,8 +194,8 @@ def _rows(model: BiLstmCrf):
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per row of ``docs``, in one scan.
 
-    Spans by pattern always stay (`pii_rules`).  The model reads overlapping windows around every digit run and sign for "at" of the
-    whole text, since no kind is without one; an address cut by a window is grown to its ends; what is found is checked for its kind and reconciled over the text
+    Spans by pattern always stay (`pii_rules`).  The model reads overlapping windows that hold every digit run and sign for "at" of the
+    whole text, since no kind is without one; what a text gives does not depend on the texts it is read with; an address cut by a window is grown to its ends; what is found is checked for its kind and reconciled over the text
     (`reconcile`).  Counts are of all spans; places are code points, ends exclusive.
 
     A null text is empty and has no spans; null or repeated ids stay; an empty table gives an empty one; further columns are

@@ -8,13 +8,15 @@ import numpy as np
 
 from .pii_rules import KINDS, luhn
 
-#: Characters told apart: ASCII, and one class for all else; the last is padding.
-CLASSES = 130
+#: Characters told apart: ASCII, and one class for all else.
+CLASSES = 129
 HIDDEN = 20
 #: Labels: none, then for each kind its first and its further characters.
 LABELS = 1 + 2 * len(KINDS)
 WINDOW = 96
-TRAIN_WINDOWS, TRAIN_LENGTH, EPOCHS, BATCH = 2800, 80, 9, 30
+#: Training batches hold windows of one length, most of them `TRAIN_LENGTH`; nothing is padded, here or in decoding, so what a window gives does not depend on
+#: the windows beside it.
+TRAIN_BATCHES, TRAIN_LENGTH, EPOCHS, BATCH = 94, 80, 9, 30
 
 
 def encode(text: str) -> np.ndarray:
@@ -134,23 +136,21 @@ class BiLstmCrf:
             g["x" + d], g["u" + d] = seen.T @ steps.reshape(-1, 4 * h), gu
         return float((z - gold).mean()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 6) -> list[float]:
+    def fit(self, batches: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.01, seed: int = 6) -> list[float]:
         """Adam with a step that falls to zero; returns the loss of each epoch."""
         rng, m, v, k, losses = np.random.default_rng(seed), {}, {}, 0, []
-        steps = epochs * -(-len(x) // BATCH)
         for _ in range(epochs):
-            order, total = rng.permutation(len(x)), 0.0
-            for at in range(0, len(x), BATCH):
-                some = order[at : at + BATCH]
-                loss, g = self._gradient(x[some], y[some])
-                total += loss * len(some)
+            total = 0.0
+            for i in rng.permutation(len(batches)).tolist():
+                loss, g = self._gradient(*batches[i])
+                total += loss / len(batches)
                 k += 1
                 for name, d in g.items():
                     d = np.clip(d, -1, 1).astype("float32")
                     m[name] = 0.9 * m.get(name, 0) + 0.1 * d
                     v[name] = 0.99 * v.get(name, 0) + 0.01 * d * d
-                    self.p[name] -= rate * (1 - (k - 1) / steps) * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-7)
-            losses.append(total / len(x))
+                    self.p[name] -= rate * (1 - (k - 1) / (epochs * len(batches))) * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-7)
+            losses.append(total)
         return losses
 
 
@@ -159,22 +159,31 @@ def _digits(rng, n: int) -> str:
 
 
 def _card(rng) -> str:
-    d = "4" + _digits(rng, 14)
+    """16 to 19 digits, whatever the first one, whole or in groups."""
+    n = int(rng.choice([16, 16, 16, 17, 18, 19]))
+    d = str(rng.integers(2, 7)) + _digits(rng, n - 2)
     d += next(c for c in "0123456789" if luhn(d + c))
-    return d if rng.random() < 0.6 else rng.choice([" ", "-", "."]).join(d[i : i + 4] for i in range(0, 16, 4))
+    if rng.random() < 0.5:
+        return d
+    return str(rng.choice([" ", "-", "."])).join(d[i : i + 4] for i in range(0, n, 4))
 
 
 def _word(rng) -> str:
     return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéüñ"), rng.integers(1, 9)))
 
 
+def _name(rng, most: int = 9) -> str:
+    return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(1, most + 1)))
+
+
 def _email(rng) -> str:
-    user = _word(rng).encode("ascii", "ignore").decode() or "a"
-    user += rng.choice(["", ".", "_", "-"]) + rng.choice(["", str(rng.integers(0, 99))])
-    host = (_word(rng).encode("ascii", "ignore").decode() or "b") + rng.choice(["", str(rng.integers(0, 9))])
-    at = rng.choice(["@", "@", "@", " @ ", "(at)", "[at]", " [at] "])
-    dot = "." if at == "@" or rng.random() < 0.5 else rng.choice([".", "(dot)", "[dot]"])
-    return f"{user.rstrip('.')}{at}{host}{dot}{rng.choice(['com', 'org', 'net', 'de', 'example.com', 'co.uk'])}"
+    """One to three names with signs between, an at in words or as a sign, a domain of two to four names."""
+    user = str(rng.choice([".", "_", "-", ""])).join(_name(rng) for _ in range(rng.integers(1, 4))) + str(rng.choice(["", "", str(rng.integers(0, 100))]))
+    host = _name(rng) + str(rng.choice(["", "", "-" + _name(rng), str(rng.integers(0, 10))]))
+    at = str(rng.choice(["@", "@", " @ ", "(at)", " (at) ", "[at]", " [at] "]))
+    dot = "." if at == "@" or rng.random() < 0.6 else str(rng.choice(["(dot)", "[dot]"]))
+    inner = "".join(dot + _name(rng) for _ in range(int(rng.choice([0, 0, 1, 2]))))
+    return f"{user}{at}{host}{inner}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'edu', 'info', 'co.uk'])}"
 
 
 def _ip(rng) -> str:
@@ -207,48 +216,52 @@ def _other(rng) -> str:
     return f"{_digits(rng, int(rng.integers(10, 16)))}"
 
 
-def labelled(n: int = TRAIN_WINDOWS, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with labelled spans among invented words, some spans side by side and cut by a window's edge."""
+def labelled(batches: int = TRAIN_BATCHES, seed: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Batches of windows with labelled spans among invented words, some spans side by side and cut by a window's edge."""
     rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(batches):
+        size = TRAIN_LENGTH if rng.random() < 0.7 else int(rng.integers(16, TRAIN_LENGTH))
+        windows = [_window(rng, size) for _ in range(BATCH)]
+        out.append((np.stack([x for x, _ in windows]), np.stack([y for _, y in windows])))
+    return out
+
+
+def _window(rng, size: int) -> tuple[np.ndarray, np.ndarray]:
     makers = (_email, _ip, _card, _phone)
-    x, y = np.full((n, TRAIN_LENGTH), CLASSES - 1), np.zeros((n, TRAIN_LENGTH), "int64")
-    for row in range(n):
-        text, labels = "", []
-
-        def put(s: str, kind: int = -1) -> None:
-            nonlocal text
-            text += s
-            labels.extend([0] * len(s) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1))
-
-        upper = rng.random() < 0.15
-        while len(text) < TRAIN_LENGTH + 30:
-            pick = rng.random()
-            if pick < 0.3:
-                k = int(rng.integers(0, 4))
+    text, labels = "", []
+
+    def put(s: str, kind: int = -1) -> None:
+        nonlocal text
+        text += s
+        labels.extend([0] * len(s) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1))
+
+    upper = rng.random() < 0.15
+    while len(text) < size + 30:
+        pick = rng.random()
+        if pick < 0.3:
+            k = int(rng.integers(0, 4))
+            put(makers[k](rng), k)
+            if rng.random() < 0.2:
+                put(" ")
                 put(makers[k](rng), k)
-                if rng.random() < 0.2:
-                    put(" ")
-                    put(makers[k](rng), k)
-            elif pick < 0.5:
-                put(_other(rng))
-            else:
-                for _ in range(rng.integers(1, 4)):
-                    w = _word(rng)
-                    put((w.upper() if upper else w) + rng.choice(["", "", ",", ".", "!!", "###", "***", " |"]) + " ")
-            put(str(rng.choice([" ", " ", ", ", ". ", "\n", "### ", ") "])))
-        at = int(rng.integers(0, 30))
-        size = TRAIN_LENGTH if rng.random() < 0.7 else int(rng.integers(16, TRAIN_LENGTH))
-        x[row, :size] = encode(text[at : at + size])
-        y[row, :size] = labels[at : at + size]
-        for k in range(len(KINDS)):
-            if y[row, 0] == 2 + 2 * k:
-                y[row, 0] = 1 + 2 * k  # a span cut by the edge begins there
-    return x, y
+        elif pick < 0.5:
+            put(_other(rng))
+        else:
+            for _ in range(rng.integers(1, 4)):
+                w = _word(rng)
+                put((w.upper() if upper else w.capitalize() if rng.random() < 0.2 else w) + rng.choice(["", "", ",", ".", "!!", "###", "***", " |"]) + " ")
+        put(str(rng.choice([" ", " ", ", ", ". ", "\n", "### ", ") "])))
+    at = int(rng.integers(0, 30))
+    y = np.array(labels[at : at + size], "int64")
+    if y[0] and y[0] % 2 == 0:
+        y[0] -= 1  # a span cut by the edge begins there
+    return encode(text[at : at + size]), y
 
 
 @lru_cache(maxsize=1)
 def trained() -> BiLstmCrf:
     """Learnt once in a driver process, from a fixed seed: reruns agree."""
     model = BiLstmCrf()
-    model.fit(*labelled())
+    model.fit(labelled())
     return model

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and their edge cases."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -166,6 +167,64 @@ def test_model_adds_spans_and_leaves_other_numbers_alone():
     assert two[0] == [] and two[1] == [(2, 4, 20), (2, 21, 37)]
 
 
+#: Written by hand, not by the generators: text before, kind, span, text after.
+WRITTEN = [
+    ("Please contact ", 0, "maria.lopez(at)clinic-norte.org", " before Friday."), ("Send the form to ", 0, "hr [at] example.net", ", thanks"), ("mailto ", 0, "j_smith84[at]post.example.de", " or call"),
+    ("Sein Konto: ", 0, "k.weber @ firma.de", " (privat)"), ("my address is ", 0, "bob(at)mail.example.com", "."), ("Server ", 1, "10[.]0[.]0[.]1", " was hit"),
+    ("from host ", 1, "192 . 168 . 0 . 12", " at night"), ("blocked: ", 1, "203[.]0[.]113[.]77", " again"), ("Card ", 2, "4111.1111.1111.1111", " was charged"), ("paid with ", 2, "5500.0000.0000.0004", " today"),
+    ("Visa ", 2, "4012.8888.8888.1881", " exp 04/27"), ("Call ", 3, "(212) 555-0187", " after six"), ("Tel. ", 3, "0049 301 2345678", " bitte"), ("ring ", 3, "415-555-2671", " for details"), ("fax ", 3, "1-800-555-0199", "; office"),
+    ("phone ", 3, "(020) 794-6095", " ext"), ("Rufen Sie ", 3, "0043 152 7788901", " an"), ("at ", 3, "646-555-0133", " any time"),
+]
+CLEAN = [
+    "The invoice of 2024-03-18 lists 1,250.00 and 37 items.", "See section 4.2.1 of version 3.11.2, page 208.", "Chapter 12 ends at 10:45; room 301, floor 3.", "It was built in 1897 and holds 2,300 people at 45% load.",
+    "Run id 7f3a9c0d1e2b4f56 failed 3 times @ step 12.", "The ratio is 0.75 (n = 48, p < 0.001).", "ISBN 978-3-16-148410-0 is out of print.", "Follow @newsroom for updates, 24 hours a day.",
+]
+
+
+def test_spans_in_texts_the_generators_did_not_make():
+    from palimpsest.llm.pii_model import trained
+
+    model, hits, of = trained(), Counter(), Counter()
+    for before, kind, span, after in WRITTEN:
+        base, spans = pii.find_spans(model, [before + span + after])[0]
+        assert not base  # no pattern finds these
+        of[kind] += 1
+        hits[kind] += (kind, len(before), len(before) + len(span)) in spans
+    assert all(hits[k] >= 0.6 * of[k] for k in of) and sum(hits.values()) >= 0.75 * len(WRITTEN), (hits, of)
+    assert sum(bool(pii.find_spans(model, [t])[0][1]) for t in CLEAN) <= 1
+
+
+def test_spans_do_not_depend_on_the_batch(spark, docs):
+    from palimpsest.llm.pii_model import _card, _email, _ip, _other, _phone, _word, trained
+
+    rng, model = np.random.default_rng(9), trained()
+    makers = (_email, _ip, _card, _phone, _other)
+    texts = [" ".join(_word(rng) if rng.random() < 0.7 else makers[rng.integers(0, 5)](rng) for _ in range(rng.integers(1, 60))) for _ in range(400)]
+    together = pii.find_spans(model, texts)
+    assert together == [pii.find_spans(model, [t])[0] for t in texts]
+    for t in texts:
+        cut = pii.windows(t)
+        assert all(any(s <= max(0, m.start() - pii.CONTEXT) and e >= min(len(t), m.end() + pii.CONTEXT) for s, e in cut) for m in pii.TRIGGER.finditer(t) if m.end() - m.start() + 2 * pii.CONTEXT <= pii.STRIDE + 1)
+        assert all(any(s <= i < e for s, e in cut) for m in pii.TRIGGER.finditer(t) for i in range(m.start(), m.end()))
+        assert all(e - s == min(len(t), pii.WINDOW) for s, e in cut)
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    a, b = (Counter(map(tuple, pii.personal_data(x).collect())) for x in (rows.coalesce(1), rows.repartition(7)))
+    assert a == b
+
+
+def test_digests_and_spans_over_documents_by_brute_force(docs):
+    """The digest of what the patterns find, and that all of it is among the spans, over whole documents."""
+    kinds = ("email", "ip", "card", "phone")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for r in docs.collect():
+        base = [f"{kinds[k]}:{s}:{e}" for k, s, e in brute_spans(r.text or "")]
+        mine = got[r.doc_id]
+        spans = mine.spans.split(",") if mine.spans else []
+        assert mine.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda x: (kinds.index(x.split(":")[0]), int(x.split(":")[1])))
+        assert [mine[f"n_{k}"] for k in kinds] == [sum(x.startswith(k) for x in spans) for k in kinds]
+
+
 def test_reconcile_is_the_best_set_without_overlap():
     found = {(0, 0, 5): 4.0, (1, 4, 9): 5.0, (2, 9, 12): 1.0, (3, 6, 8): 3.0, (3, 20, 30): 2.0}
     assert pii.reconcile([(3, 25, 28)], found) == [(0, 0, 5), (2, 9, 12), (3, 6, 8)]
