@@ -15,7 +15,7 @@ from .common import byte_batches, narrow
 from .learning import Memory, held_out, sigmoid, training_sample
 
 #: Labelled texts learnt from, and their bytes, at most.
-MAX_TRAIN, MAX_BYTES = 8_000, 24 << 20
+MAX_TRAIN, MAX_BYTES = 6_000, 16 << 20
 #: Places of the table that all terms are hashed into.
 TABLE = 1 << 18
 FACTORS = 8
