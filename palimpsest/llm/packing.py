@@ -113,8 +113,8 @@ def _pack_documents(path: str, capacity: int, open_bins: int, end_id: int, id_ty
 
         bins = BestFit(capacity, open_bins, closed)
         for got in batches:
-            for doc, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                ids = memory.of(text) + end
+            for doc, ids in zip(got.column(0).to_pylist(), memory.of_all(got.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     bins.add((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), length)
             if len(rows) >= 4096:

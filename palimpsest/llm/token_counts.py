@@ -16,7 +16,7 @@ def _count_tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = pieces(path, True)
         for batch in batches:
-            n = [memory.of(t) for t in batch.column(2).to_pylist()]
+            n = memory.of_all(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
