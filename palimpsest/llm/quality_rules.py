@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, SPACES, durable, let, narrow, words_of
 
-#: A line that more distinct documents of its host hold is removed.
-MAX_DOCS = 40
+#: A line that more documents of its host hold is removed: more than so many, and than so many in a thousand of the host's documents.
+MAX_DOCS, MAX_SHARE = 40, 30
 #: A document that keeps a smaller share of its words is rejected.
 MIN_KEPT = 0.4
 #: Rows of frequent lines (16 bytes each) up to which the table goes to all executors; beyond it, a shuffled join.
@@ -54,12 +54,13 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_frequency(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, max_share: int = MAX_SHARE
 ) -> DataFrame:
     """One row per row of ``docs``: its base figures, its words in frequent lines, the verdict and the text without those lines.
 
     A line's hash is that of its normalised form; lines without a word don't count.  A line is frequent if more than
-    ``max_docs`` distinct texts of one host hold it (copies of a whole text count once).  Hashes and counts
+    ``max_docs`` distinct documents of one host hold it, and more than ``max_share`` in a thousand of them; a document is an id with a text, so
+    copies under ids of their own count each.  Hashes and counts
     are combined before each shuffle, and a common line is spread by its documents.  Columns: doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept, clean_text.
 
@@ -69,12 +70,15 @@ def line_frequency(
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = narrow(docs, doc_id=id_col, text=text_col, host=host_col)
     keyed = rows.select("doc_id", text.alias("text"), F.xxhash64(F.col("host"), F.col("host").isNull()).alias("host")).withColumns(
-        {"k1": F.xxhash64("doc_id", "host", "text"), "k2": F.xxhash64("text", F.lit(1), "host", F.col("doc_id").isNull(), "doc_id"), "t": F.xxhash64("text")}
+        {"k1": F.xxhash64("doc_id", "host", "text"), "k2": F.xxhash64("text", F.lit(1), "host", F.col("doc_id").isNull(), "doc_id")}
     )
 
     hashes = F.transform(lines_with_words(F.col("text")), lambda x: F.xxhash64(normalised(x)))
-    seen = keyed.select("host", "t", F.explode(F.array_distinct(hashes)).alias("line"))
-    frequent = durable(seen.groupBy("host", "line").agg(F.countDistinct("t").alias("n")).filter(F.col("n") > max_docs).select("host", "line"), "lines")
+    # Beside its lines, each document has a null: how many documents the host has comes out of the same pass.
+    seen = keyed.select("host", "k1", F.explode(F.concat(F.array_distinct(hashes), F.array(F.lit(None).cast("long")))).alias("line"))
+    counted = durable(seen.groupBy("host", "line").agg(F.countDistinct("k1").alias("n")).filter((F.col("n") > max_docs) | F.col("line").isNull()), "lines")
+    hosts = counted.filter("line IS NULL").select("host", F.col("n").alias("all"))
+    frequent = counted.filter("line IS NOT NULL").join(hosts, "host").filter(1000 * F.col("n") > max_share * F.col("all")).select("host", "line")
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
 

@@ -66,11 +66,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
-l AS (SELECT r, source, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, line,
+l AS (SELECT r, source, doc_id, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, line,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
-      FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+      FROM (SELECT r, source, doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-f AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT text) > {quality_rules.MAX_DOCS}),
+h AS (SELECT source, count(DISTINCT (doc_id, text)) AS n FROM d GROUP BY source),
+c AS (SELECT source, norm, count(DISTINCT (doc_id, text)) AS n FROM l GROUP BY source, norm HAVING count(DISTINCT (doc_id, text)) > {quality_rules.MAX_DOCS}),
+f AS (SELECT c.source, norm FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE 1000 * c.n > {quality_rules.MAX_SHARE} * h.n),
 g AS (SELECT r, sum(n) AS n FROM l JOIN f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
 t AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),

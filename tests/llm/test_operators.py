@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from palimpsest.llm import mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, token_counts, topk, toxicity
+from palimpsest.llm import mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, token_counts, tokens, topk, toxicity
 from palimpsest.llm.dart_minhash import signature
 from palimpsest.llm.tokens import Pieces, safe_segments
 
@@ -56,24 +56,29 @@ def words(text):
 
 
 def test_quality_rules_by_brute_force(spark, docs, odd, none):
-    got = [r.asDict() for r in quality_rules.line_frequency(docs.unionByName(odd.select(docs.columns)), max_docs=2).collect()]
-    rows = [r.asDict() for r in docs.collect()] + [dict(zip(SCHEMA.replace(",", "").split()[::2], r, strict=True)) for r in ROWS]
+    # Copies under ids of their own are documents; a row that repeats one is not.
+    same = [(7000 + i // 2 if i < 4 else 7000 + i, "copied line one\ncopied line two", "en", "a", 1) for i in range(9)] + [(7100 + i, f"only here\nand {i}", "en", None, 1) for i in range(3)]
+    copies = docs.sparkSession.createDataFrame(same, docs.schema)
+    got = [r.asDict() for r in quality_rules.line_frequency(docs.unionByName(odd.select(docs.columns)).unionByName(copies), max_docs=2, max_share=25).collect()]
+    rows = [r.asDict() for r in docs.collect()] + [dict(zip(SCHEMA.replace(",", "").split()[::2], r, strict=True)) for r in ROWS] + [r.asDict() for r in copies.collect()]
     norm = lambda x: " ".join(re.split(r"[\x20\x09-\x0D]+", x.lower())).strip()
     held = {}
     for r in rows:
         for x in (r["text"] or "").split("\n"):
             if words(x):
-                held.setdefault((r["source"], norm(x)), set()).add(r["text"])
+                held.setdefault((r["source"], norm(x)), set()).add((r["doc_id"], r["text"]))
+    hosts = Counter(h for h, _, _ in {(r["source"], r["doc_id"], r["text"]) for r in rows})
+    frequent = lambda host, x: len(held[host, norm(x)]) > 2 and 1000 * len(held[host, norm(x)]) > 25 * hosts[host]
     want = []
     for r in rows:
         t, w = r["text"] or "", words(r["text"])
         lines = [x for x in t.split("\n") if words(x)]
         n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         again = {j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
-        gone = [x for x in t.split("\n") if words(x) and len(held[r["source"], norm(x)]) > 2]
+        gone = [x for x in t.split("\n") if words(x) and frequent(r["source"], x)]
         removed = sum(len(words(x)) for x in gone)
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
-        clean = "\n".join(x for x in t.split("\n") if not (words(x) and len(held[r["source"], norm(x)]) > 2))
+        clean = "\n".join(x for x in t.split("\n") if not (words(x) and frequent(r["source"], x)))
         want.append((r["doc_id"], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), removed, failed, not failed and len(w) - removed >= 0.4 * len(w), clean))
     assert Counter(tuple(g.values()) for g in got) == Counter(want)
     assert quality_rules.line_frequency(none).count() == 0
@@ -233,15 +238,22 @@ def test_reconcile_is_the_best_set_without_overlap():
 # 5 and 7
 
 
-def test_pieces_are_the_librarys_tokens(docs):
+def test_segments_have_the_librarys_tokens(docs, monkeypatch):
     library, memory = Tokenizer.from_file(PATH), Pieces(PATH, False)
-    texts = [r.text for r in docs.collect()] + ["", " ", "a  b", "a\n\nb", "\nx", "x ", "it's <|endoftext|> or <|endoftext|>", "é ü x   y", "日本語 テスト", "a\tb c", "1 2,3 don't", "x\r\ny z", "\x85 a"]
-    for t in texts:
-        ids = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(memory.of(t), "<u4").tolist() == ids, t
-    assert Pieces(PATH, True).of(LONG) == len(library.encode(LONG, add_special_tokens=False).ids)
+    odd = ["", " ", "a  b", "a\n\nb", "\nx", "x ", "it's <|endoftext|> or <|endoftext|>", "é ü x   y", "日本語 テスト", "a\tb c", "1 2,3 don't", "x\r\ny z", "\x85 a", "\0 \0a b"]
+    texts = [r.text for r in docs.collect()] + odd
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in memory.of_all(texts)] == want
+    assert Pieces(PATH, True).of_all([*texts, LONG]) == [*map(len, want), len(library.encode(LONG, add_special_tokens=False).ids)]
+    # With a full memory, and no memory at all, nothing changes.
+    for room in (50, 0):
+        monkeypatch.setattr(tokens, "REMEMBERED", room)
+        few = Pieces(PATH, True)
+        assert few.of_all(texts[:60]) + few.of_all(texts[60:]) == list(map(len, want)) and len(few.known) <= room
     cut = safe_segments(LONG, 1000)
     assert "".join(cut) == LONG and len(cut) > 50 and safe_segments("x" * 5000, 100) == ["x" * 5000]
+    calls = list(tokens.balanced(["a" * n for n in (10, 20, 900, 30, 5)], 200))
+    assert [len(c) for c in calls] == [2, 1, 2] and sum(calls, []) == ["a" * n for n in (10, 20, 900, 30, 5)]
 
 
 def test_token_counts(odd, none):
