@@ -295,19 +295,31 @@ def test_fullest_bin_closes_first():
 # 6
 
 
-def test_top_k_by_brute_force(spark):
+def brute_top_k(rows, k=5):
+    """Of (id, vector) rows, with Python's integers."""
+    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) and abs(x) < 2**23 for x in v)]
+    fine = [(i, v) for i, v in fine if sum(x * x for x in v) < 2**62]
+    out = Counter()
+    for a, (i, q) in enumerate(fine):
+        if i is None or i % 50:
+            continue
+        scores = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), j is None, j or 0) for b, (j, v) in enumerate(fine) if a != b and len(v) == len(q))
+        out.update((i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(scores[:k]))
+    return out
+
+
+@pytest.mark.parametrize("block,most", [(4096, 8192), (64, 3)])
+def test_top_k_by_brute_force(spark, monkeypatch, block, most):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "MOST", most)
     rng = np.random.default_rng(2)
     x = [[float(v) for v in row] for row in rng.normal(0, 0.3, (400, 16)).round(2)]
     rows = [(i, x[i % 300], 1) for i in range(400)] + [(None, x[0], 1), (450, None, 1), (451, [None] * 16, 1), (452, [float("nan")] * 16, 1), (500, [float("inf")] + x[0][1:], 2)]
+    # Repeated ids, vectors of other lengths, none at all, and components that are large, and too large.
+    rows += [(100, x[7], 1), (100, x[7], 1), (100, x[8], 3), (600, x[1][:4], 1), (601, x[2][:4], 1), (650, [], 1), (700, [0.5] * 3, 1), (750, [1e5] + x[0][1:], 1), (751, [3e38] + x[0][1:], 1), (800, [8e6] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = sorted(map(tuple, topk.top_k(df).collect()))
-    f = np.floor(256 * np.array([np.float32(r[1]).astype("float64") for r in rows[:401]])).astype("int64")
-    want = []
-    for q in range(0, 400, 50):
-        order = sorted((-int(f[q] @ f[i]), i if i < 400 else 10**9) for i in range(401) if i != q)
-        want += [(q, k + 1, None if i == 10**9 else i, -s) for k, (s, i) in enumerate(order[:5])]
-    assert got == sorted(want)
-    assert topk.top_k(df.limit(0)).count() == 0
+    assert Counter(map(tuple, topk.top_k(df).collect())) == brute_top_k([r[:2] for r in rows])
+    assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id = 50")).count() == 0
 
 
 # 8 and 9
