@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -13,7 +14,10 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class ColumnDef:
-    """``missing``: what rows written before the column came have there; ``generated``: SQL of a stored generated column."""
+    """``missing``: what rows written before the column came have there; ``generated``: SQL of a stored generated column.
+
+    ``number``: what files know the column by, whatever it is called; given by the table.
+    """
 
     name: str
     type: str
@@ -25,6 +29,7 @@ class ColumnDef:
     check: str | None = None
     since: int = 1
     dropped: int | None = None
+    number: int = 0
 
 
 @dataclass(frozen=True)
@@ -74,6 +79,14 @@ class TableDef:
     options: Mapping[str, str] = field(default_factory=dict)
     version: int = 1
 
+    def __post_init__(self) -> None:
+        top = max((c.number for c in self.columns), default=0)
+        numbered = []
+        for c in self.columns:
+            top += c.number == 0
+            numbered.append(c if c.number else replace(c, number=top))
+        object.__setattr__(self, "columns", tuple(numbered))
+
     @property
     def live(self) -> tuple[ColumnDef, ...]:
         return tuple(c for c in self.columns if c.dropped is None)
@@ -97,14 +110,27 @@ class TableDef:
         used = [i.name for i in self.indexes if name in i.include or any(name == k.expr for k in i.key)]
         if used:
             raise ValueError(f"indexes {used} need {name}")
-        return self._change(name, dropped=self.version + 1)
+        return self._change(name, {"dropped": self.version + 1})
 
     def alter_type(self, name: str, type_: str) -> TableDef:
-        return self._change(name, type=type_)
+        """Rows written before are cast when they are read."""
+        return self._change(name, {"type": type_})
 
     def rename_column(self, old: str, new: str) -> TableDef:
+        """Keys, indexes, checks, generated columns and foreign keys follow the name."""
         self._free(new)
-        return replace(self._change(old, name=new), pk=tuple(new if c == old else c for c in self.pk))
+        word = re.compile(rf"(?<![\w.`]){re.escape(old)}(?!\w)")
+        text = lambda x: x if x is None else word.sub(new, x)
+        names = lambda x: tuple(new if c == old else c for c in x)
+        out = self._change(old, {"name": new})
+        return replace(
+            out,
+            pk=names(self.pk),
+            columns=tuple(replace(c, check=text(c.check), generated=text(c.generated)) for c in out.columns),
+            indexes=tuple(replace(i, key=tuple(replace(k, expr=text(k.expr)) for k in i.key), include=names(i.include), where=text(i.where)) for i in self.indexes),
+            checks=tuple(text(c) for c in self.checks),
+            foreign_keys=tuple(replace(f, columns=names(f.columns)) for f in self.foreign_keys),
+        )
 
     def create_index(self, index: IndexDef) -> TableDef:
         if any(i.name == index.name for i in self.indexes):
@@ -122,7 +148,7 @@ class TableDef:
         if any(c.name == name for c in self.live):
             raise ValueError(f"column {name} exists")
 
-    def _change(self, name: str, **what: Any) -> TableDef:
+    def _change(self, name: str, what: Mapping[str, Any]) -> TableDef:
         if not any(c.name == name for c in self.live):
             raise ValueError(f"no column {name}")
         return replace(self, columns=tuple(replace(c, **what) if c.name == name and c.dropped is None else c for c in self.columns), version=self.version + 1)

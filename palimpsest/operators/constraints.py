@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import ForeignKey, TableDef
+from .joins import slice_of
 
 
 def unique(df: DataFrame, key: Sequence[str], nulls_distinct: bool = True) -> DataFrame:
@@ -44,22 +45,38 @@ def cascade(child: DataFrame, moved: DataFrame, column: str) -> DataFrame:
     return child.join(moved.select(F.col("old").alias(column), F.col("new").alias("_new")), column, "left").withColumn(column, F.coalesce("_new", column)).select(*child.columns)
 
 
-def overlaps(df: DataFrame, pk: Sequence[str], low: str, high: str, equal: Sequence[str] = ()) -> DataFrame:
+def overlaps(df: DataFrame, pk: Sequence[str], low: str, high: str, equal: Sequence[str] = (), slices: int = 32) -> DataFrame:
     """Rows whose range [low, high) meets that of another row, with ``equal`` columns alike (an exclusion constraint).
 
-    A row breaks it if a range before it, by start, reaches past its start, or the next one starts before its end.  So one sort
-    by start in each group of equals does it, instead of comparing pairs.  Empty ranges meet nothing.
+    A row breaks it if a range before it, by start, reaches past its start, or the next one starts before its end.  So sorting
+    by start in each group of equals does it, instead of comparing pairs.  A group is sorted slice by slice of starts (`joins.slice_of`), and a row for each group and
+    slice says how far the slices before reach and where those after start: neither a large group nor a table without ``equal`` is one task's.
+    Empty ranges meet nothing; a null start or end is open; nulls in ``equal`` meet nothing.
     """
     rows = df.filter((F.col(low) < F.col(high)) | F.col(low).isNull() | F.col(high).isNull())
     for c in equal:
         rows = rows.filter(F.col(c).isNotNull())
-    w = Window.partitionBy(*(equal or [F.lit(0)])).orderBy(F.col(low).asc_nulls_first(), *pk)
-    reach = F.max(F.struct(F.col(high).isNull().alias("open"), F.col(high).alias("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.lead(F.struct(F.col(low).alias("start"))).over(w)
-    bad = rows.withColumn("_reach", reach).withColumn("_after", after)
-    earlier = F.col("_reach").isNotNull() & (F.col("_reach.open") | F.col(low).isNull() | (F.col("_reach.end") > F.col(low)))
-    later = F.col("_after").isNotNull() & (F.col(high).isNull() | F.col("_after.start").isNull() | (F.col("_after.start") < F.col(high)))
-    return bad.filter(earlier | later).select(*df.columns)
+    rows = rows.withColumn("_slice", slice_of(rows, low, slices)).withColumn("_far", F.struct(F.col(high).isNull().alias("open"), F.col(high).alias("end")))
+    ends = rows.groupBy(*equal, "_slice").agg(F.max("_far").alias("_m"), F.min(low).alias("_first"))
+    group = Window.partitionBy(*(equal or [F.lit(0)])).orderBy("_slice")
+    ends = ends.select(*equal, "_slice", F.max("_m").over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(group.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    w = Window.partitionBy(*equal, "_slice").orderBy(F.col(low).asc_nulls_first(), *pk)
+    at = rows.withColumn("_reach", F.max("_far").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.lead(F.struct(F.col(low).alias("start"))).over(w))
+    at = at.join(ends, [*equal, "_slice"])
+    reach = F.greatest("_reach", "_before")
+    earlier = reach.isNotNull() & (reach["open"] | F.col(low).isNull() | (reach["end"] > F.col(low)))
+    start = F.when(F.col("_after").isNotNull(), F.col("_after.start")).otherwise(F.col("_next"))
+    later = (F.col("_after").isNotNull() | F.col("_next").isNotNull()) & (F.col(high).isNull() | start.isNull() | (start < F.col(high)))
+    return at.filter(earlier | later).select(*df.columns)
+
+
+def differing(df: DataFrame, column: str, equal: Sequence[str]) -> DataFrame:
+    """Rows with ``equal`` columns like another row's and another value of ``column`` (an exclusion constraint with = and <>); nulls meet nothing."""
+    rows = df
+    for c in (*equal, column):
+        rows = rows.filter(F.col(c).isNotNull())
+    mixed = rows.groupBy(*equal).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")).filter("_lo <> _hi").select(*equal)
+    return rows.join(mixed, list(equal), "left_semi").select(*df.columns)
 
 
 def verify(df: DataFrame, table: TableDef, parents: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Changes as DataFrames: each statement turns a snapshot and its input into rows (`_op`, `before`, `after`).
 
+Keys are not null: a row with a null in its key equals none.  Statements on empty tables or with empty input change nothing.
+
 Nothing is written here.  `apply` gives the table after the changes, `returning` the rows a statement returns, and
 `sources.commitlog` publishes them as a commit.
 """
@@ -7,15 +9,27 @@ Nothing is written here.  `apply` gives the table after the changes, `returning`
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What a statement says that would touch a row a second time, and one that would give a key a second row.
+SECOND_TIME = "cannot affect row a second time"
+DUPLICATE_KEY = "duplicate key value violates unique constraint"
+
+
 class CardinalityError(ValueError):
     """A statement would touch a row a second time, or a key that exists."""
 
 
+def _once(rows: DataFrame, key: Sequence[str], message: str) -> DataFrame:
+    """``rows``; a key that several of them have makes the query fail when it runs."""
+    twice = rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return rows.join(twice.select(*key, F.raise_error(F.lit(message)).cast("string").alias("_e")), list(key), "left").filter("_e IS NULL").select(*rows.columns)
+
+
 def _row(df: DataFrame, columns: Sequence[str], prefix: str = "") -> Column:
     return F.struct(*[df[prefix + c].alias(c) for c in columns])
 
@@ -31,7 +45,11 @@ def _same(pk: Sequence[str], a: str, b: str) -> Column:
     return out
 
 
-def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
+def insert(target: DataFrame, rows: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
+    """INSERT.  With ``key``, a row whose key the target or another of the rows has makes the query fail when it runs; without, the commit checks it."""
+    if key:
+        there = target.join(rows.select(*key).distinct(), list(key), "left_semi").select(*key, F.raise_error(F.lit(DUPLICATE_KEY)).cast("string").alias("_e"))
+        rows = _once(rows, key, DUPLICATE_KEY).join(there, list(key), "left").filter("_e IS NULL").select(*rows.columns)
     rows = rows.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns])
     return rows.select(F.lit("I").alias("_op"), _null_row(target).alias("before"), F.struct(*rows.columns).alias("after"))
 
@@ -43,7 +61,11 @@ def upsert_do_nothing(target: DataFrame, rows: DataFrame, key: Sequence[str], or
 
 
 def upsert_do_update(target: DataFrame, rows: DataFrame, key: Sequence[str], set_: Mapping[str, Column], where: Column | None = None) -> DataFrame:
-    """INSERT ON CONFLICT DO UPDATE.  In ``set_`` and ``where``, ``t.c`` is the row there and ``excluded.c`` the new one."""
+    """INSERT ON CONFLICT DO UPDATE.  In ``set_`` and ``where``, ``t.c`` is the row there and ``excluded.c`` the new one.
+
+    Two rows of one key make the query fail when it runs: the second would meet what the first one made.
+    """
+    rows = _once(rows, key, f"ON CONFLICT DO UPDATE {SECOND_TIME}")
     joined = rows.alias("excluded").join(target.alias("t"), _same(key, "excluded", "t"), "left")
     hit = F.col(f"t.{key[0]}").isNotNull()
     if where is not None:
@@ -92,8 +114,7 @@ def merge(
     ``checked``: a source with two rows of one key makes the query fail when it runs, as one row can't be touched twice.
     """
     if checked:
-        twice = source.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-        source = source.join(twice.select(*key, F.raise_error(F.lit("MERGE cannot affect row a second time")).alias("_e")), list(key), "left").filter("_e IS NULL").select(*source.columns)
+        source = _once(source, key, f"MERGE {SECOND_TIME}")
     joined = source.alias("s").join(target.alias("t"), _same(key, "s", "t"), "left")
     hit = F.col(f"t.{key[0]}").isNotNull()
     op = F.when(hit & (matched_delete if matched_delete is not None else F.lit(False)), "D").when(hit & F.lit(matched_update is not None), "U").when(~hit & F.lit(not_matched_insert), "I")
@@ -109,6 +130,11 @@ def apply(target: DataFrame, changes: DataFrame, pk: Sequence[str]) -> DataFrame
     return target.join(touched, list(pk), "left_anti").select(*target.columns).unionByName(changes.filter("after IS NOT NULL").select("after.*"))
 
 
+def together(*changes: DataFrame) -> DataFrame:
+    """The data-changing statements of one WITH: all see the snapshot that they were made from, and none what another one does."""
+    return reduce(DataFrame.unionByName, changes)
+
+
 def returning(changes: DataFrame, *columns: str) -> DataFrame:
     """RETURNING: a statement's rows after it, or before it where it deletes them."""
     rows = changes.select("_op", F.coalesce("after", "before").alias("r")).select("_op", "r.*")

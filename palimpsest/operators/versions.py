@@ -18,6 +18,16 @@ def payload(log: DataFrame) -> list[str]:
     return [c for c in log.columns if c not in META and not c.startswith("_")]
 
 
+def order() -> list[Column]:
+    """The order of a key's changes.  A command that moves keys takes a key from one row and gives it to another: the old row's end comes first."""
+    return [F.col("_csn"), F.col("_cid"), F.col("_op") != "D"]
+
+
+def place() -> Column:
+    """Where a change stands among those of its key, as one value."""
+    return F.struct(F.col("_csn"), F.col("_cid"), (F.col("_op") != "D").alias("_comes"))
+
+
 def visible(csn: int, own_csn: int | None = None, cid: int | None = None) -> Column:
     """Committed before ``csn``, or the own transaction's commands before ``cid``."""
     out = F.col("_csn") < csn
@@ -29,7 +39,7 @@ def visible(csn: int, own_csn: int | None = None, cid: int | None = None) -> Col
 def latest(log: DataFrame, pk: Sequence[str], deleted: bool = False) -> DataFrame:
     """The last version of each key.  One aggregate with partial combination before the shuffle: no sort, no window."""
     rest = [c for c in log.columns if c not in pk]
-    last = log.groupBy(*pk).agg(F.max_by(F.struct(*rest), F.struct("_csn", "_cid")).alias("_v"))
+    last = log.groupBy(*pk).agg(F.max_by(F.struct(*rest), place()).alias("_v"))
     out = last.select(*pk, *[F.col(f"_v.{c}").alias(c) for c in rest])
     return (out if deleted else out.filter("_op <> 'D'")).select(*log.columns)
 
@@ -46,7 +56,7 @@ def as_of(log: DataFrame, pk: Sequence[str], ts: Column) -> DataFrame:
 
 def history(log: DataFrame, pk: Sequence[str]) -> DataFrame:
     """Each version with the commit that ended it (`_csn_to`, null for the current one)."""
-    w = Window.partitionBy(*pk).orderBy("_csn", "_cid")
+    w = Window.partitionBy(*pk).orderBy(*order())
     return log.withColumn("_csn_from", F.col("_csn")).withColumn("_csn_to", F.lead("_csn").over(w))
 
 

@@ -9,13 +9,19 @@ from .registry import query, sql_query
 # Joins.
 
 sql_query("join_inner", "SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'")
-_LEFT = "(SELECT o_custkey % 50 AS a, o_orderkey % 20 AS b, o_orderkey AS x FROM {orders} WHERE o_orderkey % 9 = 0)"
-_RIGHT = "(SELECT o_custkey % 60 AS a, o_orderkey % 25 AS b, o_totalprice AS y FROM {orders} WHERE o_orderkey % 11 = 0)"
-sql_query("join_inner_composite", f"SELECT l.a, l.b, l.x, r.y FROM {_LEFT} l JOIN {_RIGHT} r ON l.a = r.a AND l.b = r.b")
-sql_query("join_dup_keys", "SELECT l.k, count(*) AS n, sum(l.v) AS s FROM (SELECT o_custkey % 3 AS k, o_orderkey AS v FROM {orders} WHERE o_orderkey < 400) l JOIN (SELECT c_custkey % 3 AS k FROM {customer} WHERE c_custkey < 200) r ON l.k = r.k GROUP BY l.k", "SELECT l.k, count(*) AS n, CAST(sum(l.v) AS BIGINT) AS s FROM (SELECT o_custkey % 3 AS k, o_orderkey AS v FROM {orders} WHERE o_orderkey < 400) l JOIN (SELECT c_custkey % 3 AS k FROM {customer} WHERE c_custkey < 200) r ON l.k = r.k GROUP BY l.k")
+# Where all pairs would be too many, each side is summed up by key before the join.
+sql_query("join_dup_keys", """
+SELECT l.k, l.n * r.n AS n, l.s * r.n AS s FROM (SELECT o_custkey % 3 AS k, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM {orders} GROUP BY o_custkey % 3) l
+JOIN (SELECT c_custkey % 3 AS k, count(*) AS n FROM {customer} GROUP BY c_custkey % 3) r ON l.k = r.k""")
+sql_query("join_inner_composite", "SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS x, b.l_partkey AS y FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber")
+sql_query("join_right", "SELECT o.o_orderkey, s.s_suppkey, s.s_name FROM {orders} o RIGHT JOIN {supplier} s ON o.o_custkey = s.s_suppkey")
+_L = "(SELECT o_custkey AS a, o_orderpriority AS b, count(*) AS x FROM {orders} GROUP BY o_custkey, o_orderpriority)"
+_R = "(SELECT o_custkey + 7 AS a, o_orderpriority AS b, max(o_totalprice) AS y FROM {orders} GROUP BY o_custkey + 7, o_orderpriority)"
+sql_query("join_full", f"SELECT a, b, l.x, r.y FROM {_L} l FULL JOIN {_R} r USING (a, b)")
+sql_query("join_null_safe", """
+SELECT a.k, a.n * b.n AS n FROM (SELECT nullif(c_custkey % 5, 0) AS k, count(*) AS n FROM {customer} GROUP BY nullif(c_custkey % 5, 0)) a
+JOIN (SELECT nullif(s_suppkey % 5, 0) AS k, count(*) AS n FROM {supplier} GROUP BY nullif(s_suppkey % 5, 0)) b ON a.k IS NOT DISTINCT FROM b.k""")
 sql_query("join_left", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT JOIN (SELECT * FROM {orders} WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey")
-sql_query("join_right", "SELECT o.o_orderkey, s.s_suppkey, s.s_name FROM (SELECT * FROM {orders} WHERE o_orderkey % 40 = 0) o RIGHT JOIN {supplier} s ON o.o_custkey = s.s_suppkey")
-sql_query("join_full", f"SELECT a, b, l.x, r.y FROM {_LEFT} l FULL JOIN {_RIGHT} r USING (a, b)")
 sql_query("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
 sql_query("join_semi_in", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 350000)")
 sql_query("join_semi_exists", "SELECT s_suppkey FROM {supplier} s WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity >= 50)")
@@ -23,18 +29,16 @@ sql_query("join_anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SEL
 sql_query("join_multiway", "SELECT r.r_name, n.n_name, count(*) AS n, round(sum(o.o_totalprice), 2) AS total FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name")
 sql_query("join_lateral", "SELECT c.c_custkey, t.o_orderkey, t.o_totalprice FROM {customer} c, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000) t")
 sql_query("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-sql_query("join_null_safe", "SELECT count(*) AS n FROM (SELECT nullif(c_custkey % 5, 0) AS k FROM {customer} WHERE c_custkey < 100) a JOIN (SELECT nullif(s_suppkey % 5, 0) AS k FROM {supplier}) b ON a.k IS NOT DISTINCT FROM b.k")
 
 
 @query("join_range", """
-SELECT e.event_id, w.w FROM {events} e JOIN (SELECT event_id AS w, epoch_us(ts) AS lo, epoch_us(ts) + 600000000 AS hi FROM {events} WHERE event_id % 100 = 0) w
-ON epoch_us(e.ts) >= w.lo AND epoch_us(e.ts) < w.hi WHERE e.event_id % 3 = 0""")
+SELECT e.event_id, w.w FROM {events} e JOIN (SELECT event_id AS w, epoch_us(ts) AS lo, epoch_us(ts) + 60000000 AS hi FROM {events}) w ON epoch_us(e.ts) >= w.lo AND epoch_us(e.ts) < w.hi""")
 def _(t):
     from ..operators.joins import range_join
 
-    e = t("events").filter("event_id % 3 = 0").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    w = t("events").filter("event_id % 100 = 0").select(F.col("event_id").alias("w"), F.unix_micros(F.col("ts").cast("timestamp")).alias("lo"))
-    return range_join(e, "at", w.withColumn("hi", F.col("lo") + 600_000_000), "lo", "hi", width=600_000_000).select("event_id", "w")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = t("events").select(F.col("event_id").alias("w"), at.alias("lo"), (at + 60_000_000).alias("hi"))
+    return range_join(t("events").select("event_id", at.alias("at")), "at", w, "lo", "hi", width=60_000_000).select("event_id", "w")
 
 
 @query("join_asof", """

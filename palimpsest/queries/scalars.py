@@ -40,10 +40,10 @@ _PRIORITIES = ("3-MEDIUM", "1-URGENT", "5-LOW", "2-HIGH", "4-NOT SPECIFIED")
 
 @query("custom_order", """
 SELECT o_orderkey, o_orderpriority FROM {orders}
-ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '5-LOW' THEN 3 WHEN '2-HIGH' THEN 4 ELSE 5 END, o_orderkey LIMIT 1000""")
+ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '5-LOW' THEN 3 WHEN '2-HIGH' THEN 4 ELSE 5 END, o_orderkey""")
 def _(t):
     o = t("orders").select("o_orderkey", "o_orderpriority")
-    return o.orderBy(enum_order(F.col("o_orderpriority"), _PRIORITIES), "o_orderkey").limit(1000)
+    return o.orderBy(enum_order(F.col("o_orderpriority"), _PRIORITIES), "o_orderkey")
 
 
 @udtf(returnType="i: bigint, square: bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,5 +25,21 @@ def session(app: str = "palimpsest", master: str | None = None, **conf: str) ->
     return b.config(map=settings | conf).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one is set if Spark runs in this one process; on a cluster, whose executors couldn't see it, it
+    is an error.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ def without_origin(log: DataFrame, origin: str) -> DataFrame:
 
 def before_after(log: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(pk, _op, _csn, old_*, new_*): replica identity FULL, from the version before in the log."""
-    w = Window.partitionBy(*pk).orderBy("_csn", "_cid")
+    w = Window.partitionBy(*pk).orderBy(*versions.order())
     gone = F.lag("_op").over(w) == "D"
     old = [F.when(~F.coalesce(gone, F.lit(True)), F.lag(c).over(w)).alias(f"old_{c}") for c in columns]
     new = [F.when(F.col("_op") != "D", F.col(c)).alias(f"new_{c}") for c in columns]
@@ -32,7 +32,7 @@ def before_after(log: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> D
 def net_changes(log: DataFrame, pk: Sequence[str], from_csn: int, to_csn: int) -> DataFrame:
     """One change a key over the commits in [from_csn, to_csn): first and last together; inserts that go again are none."""
     rest = [c for c in log.columns if c not in pk]
-    at = F.struct("_csn", "_cid")
+    at = versions.place()
     ends = changes(log, from_csn, to_csn).groupBy(*pk).agg(F.min_by("_op", at).alias("_first"), F.max_by(F.struct(*rest), at).alias("_v"))
     last = F.col("_v._op")
     op = F.when((F.col("_first") == "I") & (last == "D"), None).when(F.col("_first") == "I", "I").when(last == "D", "D").otherwise("U")
@@ -45,21 +45,20 @@ def apply_changes(target: DataFrame, log: DataFrame, pk: Sequence[str]) -> DataF
     return target.join(last.select(*pk), list(pk), "left_anti").unionByName(last.filter("_op <> 'D'").select(*target.columns))
 
 
-def published(batch: DataFrame, csns: Sequence[int]) -> DataFrame:
-    """Rows of a micro-batch whose commits are published."""
-    return batch.filter(F.col("_csn").isin(list(csns)))
+def replicate(table, checkpoint: str, apply: Callable[[DataFrame, int], None]):
+    """Follows a `VersionedTable` commit by commit: ``apply`` gets the last change of each key in a batch of commits, and the batch's number.
 
-
-def replicate(stream: DataFrame, pk: Sequence[str], checkpoint: str, apply: Callable[[DataFrame, int], None]):
-    """Applies a change stream batch by batch: ``apply`` gets the last change of each key in the batch, and the batch's number.
-
-    Start it with ``.start()``; after a failure the batch comes again, which `apply_changes` stands.
+    The stream is that of the commits' markers, and each batch reads the data they name: work that is not published is never
+    seen, whenever its files came, and none that is published is lost.  Start it with ``.start()``; after a failure the batch comes
+    again, which `apply_changes` stands.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        apply(versions.latest(batch, pk, deleted=True), number)
+        csns = [r.csn for r in batch.collect()]  # one number a commit
+        if csns:
+            apply(versions.latest(table.changes_of(csns), table.pk, deleted=True), number)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return table.read_stream().writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def tumbling(events: DataFrame, ts: str, width: str, *keys: str, watermark: str | None = None) -> DataFrame:
