@@ -49,6 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of pieces in sequences: what `STAGES` make of the table of documents, one after the other.
+
+    Each stage's result is written into the shared folder and read again, so a lost executor costs no earlier stage, and a stage's memory of words
+    ends with it.  Null texts are empty until they are masked, and stay null there; null ids and rows that repeat stay until the near-duplicates, where one
+    document of each group does; an empty table goes through and gives an empty one; columns beyond those of documents are kept by all stages but the last.
+    """
     docs, out = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}-{name}")
