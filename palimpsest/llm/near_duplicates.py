@@ -19,9 +19,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = 128
 #: Rounds with one pivot a bucket, before what is left of a bucket is paired up between classes.
-PIVOT_ROUNDS = 2
-#: Nodes of a bucket that one key of that last join holds.
-CELL = 64
+PIVOT_ROUNDS = 1
+#: Nodes of a bucket that a side of one key of that last join holds.
+CELL = 1024
 
 _P = np.uint64(0x100000001B3)
 
@@ -135,8 +135,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     checked exactly (Jaccard similarity weighted by the counts of shingles, or of plain sets without ``by_count``) and the classes are the
     components of the links.  In a bucket, one pivot a round is compared with all nodes of other classes and then leaves it;
     a bucket ends when one class is left in it.  So a group of m copies costs about m pairs, and of the pairs that share a band, none between different
-    classes goes unchecked: after `PIVOT_ROUNDS` rounds, what is still mixed is paired up between classes, ids only, cell by cell of `CELL`
-    nodes, and each pair is checked once, however many bands it shares.  Pairs of a similarity below ``similarity`` are not looked for.
+    classes goes unchecked: after `PIVOT_ROUNDS` rounds, what is still mixed is compared between classes, cell by cell of `CELL`
+    nodes, inside a join that gives links only; each pair is checked once, however many bands it shares.  Pairs of a similarity below ``similarity`` are not looked for.
     class_id is the least doc_id of the class; where ids are null or repeat, classes may have it in common.  label tells all
     classes of texts with words apart: it is the least node of the class.
 
@@ -171,54 +171,64 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, similarity: fl
     """(node, label) of the nodes with links; None if there are none."""
     buckets = signed.select("node", F.posexplode("bands").alias("band", "h")).groupBy("band", "h", "node").agg(F.lit(1).alias("one"))
     shared = buckets.groupBy("band", "h").agg(F.count("*").alias("k")).filter("k > 1").select("band", "h")
-    members = durable(buckets.join(shared, ["band", "h"]).join(nodes.select("node", "n"), "node").select(F.xxhash64("band", "h").alias("bucket"), "node", "n"), "members")
+    members = durable(buckets.join(shared, ["band", "h"]).join(nodes.select("node", "n"), "node").select(F.xxhash64("band", "h").alias("bucket"), "band", "node", "n"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
     texts = rows.join(wanted.select("doc_id").distinct().withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi").select("text")
     sets = durable(texts.mapInArrow(_shingle_sets(shingle, by_count), "node long, elements array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
 
-    labels = checked = None
-    for round_ in range(PIVOT_ROUNDS + 1):
-        at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        at = durable(at, "labelled")
-        mixed = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max(F.struct("label", "node", "n")).alias("p"), F.count("*").alias("m")).filter("lo < p.label").select("bucket", "p", "m")
-        at = at.join(mixed, "bucket")
-        if round_ < PIVOT_ROUNDS:
-            pairs = at.filter("label != p.label").select(F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
-            members = at.filter("node != p.node").select("bucket", "node", "n")
-        else:
-            pairs = _between_classes(at)
+    labels = None
+    for _ in range(PIVOT_ROUNDS):
+        at = _mixed(members, labels)
+        pairs = at.filter("label != p.label").select(F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
+        members = at.filter("node != p.node").select("bucket", "band", "node", "n")
         # Sets whose sizes differ by more can't be that similar.
         pairs = pairs.filter(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("both")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = durable(_checked(pairs, sets, similarity), "pairs")
-        if found.limit(1).count() == 0 and round_ < PIVOT_ROUNDS:
-            continue
-        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
-        links = found.filter("linked").select("a", "b")
+        links = durable(_checked(pairs, sets, similarity).filter("linked").select("a", "b"), "pairs")
         if links.limit(1).count():
             labels = _relabelled(labels, links)
-    return labels
+    bands = signed.join(_mixed(members, labels).select("node").distinct(), "node").groupBy("node").agg(F.first("bands").alias("bands"))
+    rest = durable(_mixed(members, labels).drop("p").join(bands, "node").join(sets, "node"), "mixed")
+    links = durable(_between_classes(rest, similarity), "links")
+    return _relabelled(labels, links) if links.limit(1).count() else labels
 
 
-def _between_classes(at: DataFrame) -> DataFrame:
-    """(x, nx, y, ny): pairs of nodes of one bucket that have different labels.
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of buckets with nodes of several labels, with their own, the bucket's pivot p and its number of members m."""
+    at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max(F.struct("label", "node", "n")).alias("p"), F.count("*").alias("m")).filter("lo < p.label").select("bucket", "p", "m")
+    return at.join(mixed, "bucket")
+
+
+def _between_classes(at: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between nodes of one bucket that have different labels.  The check is part of the join, so that only links leave it.
 
     A bucket of m nodes is dealt into m / `CELL` blocks, and two blocks meet in a cell of their own, so no key of the join grows with a bucket.
     """
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CELL)).cast("int")
-    blocks = at.select("bucket", "node", "n", "label", block.alias("i"), (F.ceil(F.col("m") / CELL) - 1).cast("int").alias("last"))
-    left = blocks.select("bucket", F.col("i").alias("lo"), F.explode(F.sequence("i", "last")).alias("hi"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = blocks.select("bucket", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("lo"), F.col("i").alias("hi"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    return left.join(right, ["bucket", "lo", "hi"]).filter("lx != ly AND (lo < hi OR x < y)").select("x", "nx", "y", "ny")
+    last = (F.ceil(F.col("m") / CELL) - 1).cast("int")
+    blocks = at.withColumn("i", F.pmod(F.xxhash64("node"), last + 1).cast("int")).withColumn("last", last)
+    left = blocks.select("bucket", "band", "node", "n", "label", "bands", "elements", F.col("i").alias("lo"), F.explode(F.sequence("i", "last")).alias("hi"))
+    names = {"node": "x", "n": "nx", "label": "lx", "bands": "bx", "elements": "ex"}
+    right = blocks.select("bucket", *[F.col(c).alias(x) for c, x in names.items()], F.explode(F.sequence(F.lit(0), F.col("i"))).alias("lo"), F.col("i").alias("hi"))
+    # Sets whose sizes differ by more can't be that similar; pairs that share several bands come from the first one only.
+    close = F.least("n", "nx") >= similarity * F.greatest("n", "nx")
+    first = F.array_position(F.zip_with("bands", "bx", lambda a, b: a == b), True) == F.col("band") + 1
+    l, r = left.alias("l"), right.alias("r")
+    same = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.lo") == F.col("r.lo")) & (F.col("l.hi") == F.col("r.hi"))
+    ordered = (F.col("l.lo") < F.col("l.hi")) | (F.col("node") < F.col("x"))
+    found = l.join(r, same & ordered & (F.col("label") != F.col("lx")) & close & first & _linked_sets("elements", "ex", F.col("n") + F.col("nx"), similarity))
+    return found.select(F.col("node").alias("a"), F.col("x").alias("b"))
+
+
+def _linked_sets(a: str, b: str, both, similarity: float):
+    """common / (both - common) >= similarity, with the common elements counted once."""
+    return F.size(F.array_intersect(a, b)) * (1 + similarity) >= similarity * both - 1e-9
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, linked) of the pairs (a, b, both), by their sets."""
     a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    common = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", (common >= similarity * (F.col("both") - common)).alias("linked"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", _linked_sets("ea", "eb", F.col("both"), similarity).alias("linked"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -421,8 +421,10 @@ def test_signatures_estimate_weighted_similarity():
     assert len(set(signature(e[:1], np.ones(1), 64).tolist())) > 32
 
 
-@pytest.mark.parametrize("by_count", [False, True])
-def test_near_duplicate_classes_by_brute_force(spark, docs, odd, by_count):
+@pytest.mark.parametrize("by_count,cell,rounds", [(False, 1024, 1), (True, 3, 0), (True, 1024, 2)])
+def test_near_duplicate_classes_by_brute_force(spark, docs, odd, by_count, cell, rounds, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CELL", cell)
+    monkeypatch.setattr(near_duplicates, "PIVOT_ROUNDS", rounds)
     base = [f"t{i}" for i in range(120)]
     more = [(10_000 + k, " ".join(w if (i * 7 + k) % 61 else f"k{k}" for i, w in enumerate(base)), "en", "a", 1) for k in range(25)]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [r[:2] for r in more] + [r[:2] for r in ROWS]
