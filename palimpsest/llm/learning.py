@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], "float64")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: what training took would else stay with the driver's process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

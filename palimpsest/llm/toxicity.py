@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .common import byte_batches, narrow
-from .learning import Memory, held_out, sigmoid, training_sample
+from .learning import Memory, give_back, held_out, sigmoid, training_sample
 
 #: Labelled texts learnt from, and their bytes, at most.
 MAX_TRAIN, MAX_BYTES = 6_000, 16 << 20
@@ -108,7 +108,10 @@ class FactorizationMachine:
 def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
     memory = Memory(term_places, 50_000)
     # Flat arrays: as Python sets, the terms of all training texts would fill the driver's memory.
-    return FactorizationMachine().fit([np.array(terms_of(t, memory), "int32") for t in texts], y)
+    fm = FactorizationMachine().fit([np.array(terms_of(t, memory), "int32") for t in texts], y)
+    memory.clear()
+    give_back()
+    return fm
 
 
 def _scorer(fm: FactorizationMachine):
