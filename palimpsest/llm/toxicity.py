@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ MAX_TRAIN, MAX_BYTES = 6_000, 16 << 20
 #: Places of the table that all terms are hashed into.
 TABLE = 1 << 18
 FACTORS = 8
+#: Words a worker remembers, and terms of texts that are scored together, about: its memory beside Spark's and that of other stages is bounded by both.
+REMEMBERED, SLICE = 150_000, 1 << 16
 #: Texts are gone through so often, few texts more often, for so many steps at least.
 EPOCHS, MIN_STEPS, BATCH = 5, 320, 64
 #: A text's terms have the values `SCALE` / sqrt(number of its terms).
@@ -115,15 +118,19 @@ def train(texts: list[str], y: np.ndarray) -> FactorizationMachine:
 
 
 def _scorer(fm: FactorizationMachine):
-    """Scores of a list of texts."""
-    memory = Memory(term_places)
+    """Scores of a list of texts, in slices of texts that have about `SLICE` terms together."""
+    memory = Memory(term_places, REMEMBERED)
 
     def score(texts: list[str]) -> np.ndarray:
-        flat, ends = [], []
+        out, flat, ends = [], array("i"), []
         for text in texts:
             flat.extend(terms_of(text, memory))
             ends.append(len(flat))
-        return sigmoid(fm.logits(np.array(flat, "int64"), np.array(ends, "int64")))
+            if len(flat) >= SLICE:
+                out.append(fm.logits(np.array(flat), np.array(ends)))
+                flat, ends = array("i"), []
+        out.append(fm.logits(np.array(flat), np.array(ends, "int64")))
+        return sigmoid(np.concatenate(out))
 
     return score
 

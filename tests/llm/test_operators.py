@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -374,6 +375,23 @@ def test_machine_scores_by_brute_force():
         assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
 
+def test_scoring_a_batch_takes_bounded_memory():
+    """Scores of a batch are those of its texts one by one, and what they take does not grow with the batch."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"{i:x}word" for i in range(4000)])
+    texts = ["", *(" ".join(rng.choice(words, 1000, replace=False)) for _ in range(400)), ""]
+    fm = toxicity.FactorizationMachine()
+    fm.w = rng.normal(0, 0.1, toxicity.TABLE).astype("float32")
+    score = toxicity._scorer(fm)
+    score(texts[:9])
+    tracemalloc.start()
+    got = score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    assert got == pytest.approx(np.concatenate([score([t]) for t in texts])) and len(score([])) == 0
+
+
 def test_quality_scores_by_brute_force(spark, docs, labels, odd, monkeypatch):
     """Every text's vector as the mean of its words' vectors, through the softmax, from the learnt weights."""
     models, inner = [], quality_classifier.SubwordClassifier.margins
