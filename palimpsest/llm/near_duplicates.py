@@ -20,8 +20,10 @@ BANDS, ROWS = 25, 5
 COORDINATES = 128
 #: Rounds with one pivot a bucket, before what is left of a bucket is paired up between classes.
 PIVOT_ROUNDS = 1
-#: Nodes of a bucket that a side of one key of that last join holds.
-CELL = 1024
+#: Nodes of a bucket, and elements of their sets, that a block holds, about; a cell of that last step has two blocks.
+CELL, CELL_ELEMENTS = 512, 1 << 19
+#: Edges of a graph, at most, whose components one task finds; beyond, rounds of joins do.
+SMALL = 1 << 19
 
 _P = np.uint64(0x100000001B3)
 
@@ -106,9 +108,11 @@ def _shingle_sets(shingle: int, by_count: bool):
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of undirected ``edges`` (a, b): label is the least node of the component.
 
-    Each round takes the least label among the neighbours, then the label of that label; what a node sends is combined before
+    Up to `SMALL` edges go through one task, so that they aren't written and shuffled in small files once a round.  Else, each round takes the least label among the neighbours, then the label of that label; what a node sends is combined before
     the shuffle, so a node with many edges is no hot spot.
     """
+    if edges.count() <= SMALL:
+        return durable(edges.select("a", "b").coalesce(1).mapInArrow(_components, "node long, label long"), "labels")
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -121,6 +125,22 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `connected` gives, of all edges of a partition: labels go along edges, then to the label's label."""
+    edges = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    if not edges:
+        return
+    ids, codes = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+    a, b = codes.reshape(2, -1)
+    label, old = np.arange(len(ids)), None
+    while old is None or (label != old).any():
+        old = label.copy()
+        np.minimum.at(label, a, old[b])
+        np.minimum.at(label, b, old[a])
+        label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["node", "label"])
+
+
 def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """Labels after ``edges`` (a, b) between nodes: joined through the labels so far."""
     if labels is None:
@@ -135,8 +155,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     checked exactly (Jaccard similarity weighted by the counts of shingles, or of plain sets without ``by_count``) and the classes are the
     components of the links.  In a bucket, one pivot a round is compared with all nodes of other classes and then leaves it;
     a bucket ends when one class is left in it.  So a group of m copies costs about m pairs, and of the pairs that share a band, none between different
-    classes goes unchecked: after `PIVOT_ROUNDS` rounds, what is still mixed is compared between classes, cell by cell of `CELL`
-    nodes, inside a join that gives links only; each pair is checked once, however many bands it shares.  Pairs of a similarity below ``similarity`` are not looked for.
+    classes goes unchecked: after `PIVOT_ROUNDS` rounds, what is still mixed is compared between classes, cell by cell of two blocks of
+    `CELL` nodes, which gives fewer links than a cell has nodes; each pair is checked once, however many bands it shares, and not at all once its cell has joined it.  Pairs of a similarity below ``similarity`` are not looked for.
     class_id is the least doc_id of the class; where ids are null or repeat, classes may have it in common.  label tells all
     classes of texts with words apart: it is the least node of the class.
 
@@ -188,36 +208,98 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, similarity: fl
         if links.limit(1).count():
             labels = _relabelled(labels, links)
     bands = signed.join(_mixed(members, labels).select("node").distinct(), "node").groupBy("node").agg(F.first("bands").alias("bands"))
-    rest = durable(_mixed(members, labels).drop("p").join(bands, "node").join(sets, "node"), "mixed")
+    rest = _mixed(members, labels).drop("p").join(bands, "node").join(sets, "node")
     links = durable(_between_classes(rest, similarity), "links")
     return _relabelled(labels, links) if links.limit(1).count() else labels
 
 
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets with nodes of several labels, with their own, the bucket's pivot p and its number of members m."""
+    """Members of buckets with nodes of several labels, with their own, the bucket's pivot p, its number of members m and the sum of their sizes."""
     at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max(F.struct("label", "node", "n")).alias("p"), F.count("*").alias("m")).filter("lo < p.label").select("bucket", "p", "m")
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max(F.struct("label", "node", "n")).alias("p"), F.count("*").alias("m"), F.sum("n").alias("volume")).filter("lo < p.label").select("bucket", "p", "m", "volume")
     return at.join(mixed, "bucket")
 
 
 def _between_classes(at: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between nodes of one bucket that have different labels.  The check is part of the join, so that only links leave it.
+    """(a, b): labels of nodes of one bucket that are linked, as many as it takes to join what the links of a cell join.
 
-    A bucket of m nodes is dealt into m / `CELL` blocks, and two blocks meet in a cell of their own, so no key of the join grows with a bucket.
+    A bucket is dealt into blocks of about `CELL` nodes or `CELL_ELEMENTS` elements, and two blocks meet in a cell of their own, so no cell grows with a bucket.
+    A cell gives fewer links than it has nodes, however many pairs of them are alike.
     """
-    last = (F.ceil(F.col("m") / CELL) - 1).cast("int")
-    blocks = at.withColumn("i", F.pmod(F.xxhash64("node"), last + 1).cast("int")).withColumn("last", last)
-    left = blocks.select("bucket", "band", "node", "n", "label", "bands", "elements", F.col("i").alias("lo"), F.explode(F.sequence("i", "last")).alias("hi"))
-    names = {"node": "x", "n": "nx", "label": "lx", "bands": "bx", "elements": "ex"}
-    right = blocks.select("bucket", *[F.col(c).alias(x) for c, x in names.items()], F.explode(F.sequence(F.lit(0), F.col("i"))).alias("lo"), F.col("i").alias("hi"))
-    # Sets whose sizes differ by more can't be that similar; pairs that share several bands come from the first one only.
-    close = F.least("n", "nx") >= similarity * F.greatest("n", "nx")
-    first = F.array_position(F.zip_with("bands", "bx", lambda a, b: a == b), True) == F.col("band") + 1
-    l, r = left.alias("l"), right.alias("r")
-    same = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.lo") == F.col("r.lo")) & (F.col("l.hi") == F.col("r.hi"))
-    ordered = (F.col("l.lo") < F.col("l.hi")) | (F.col("node") < F.col("x"))
-    found = l.join(r, same & ordered & (F.col("label") != F.col("lx")) & close & first & _linked_sets("elements", "ex", F.col("n") + F.col("nx"), similarity))
-    return found.select(F.col("node").alias("a"), F.col("x").alias("b"))
+    blocks = F.greatest(F.col("m") / CELL, F.least(F.col("volume") / CELL_ELEMENTS, "m"))
+    last = (F.ceil(blocks) - 1).cast("int")
+    dealt = at.withColumn("i", F.pmod(F.xxhash64("node"), last + 1).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), last)))
+    cells = dealt.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "band", "node", "n", "label", "bands", "elements")
+    cells = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return cells.mapInArrow(_cell_links(similarity), "a long, b long")
+
+
+def _cell_links(similarity: float):
+    """Links of the cells of a partition, which is sorted by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "lo", "hi", "i", "band", "n", "label")]
+            keys = np.stack(columns[:3], axis=1)
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            elements, sizes = batch.column("elements").flatten().to_numpy(), batch.column("elements").value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and (keys[lo] != key).any():
+                    found += _forest(held, similarity)
+                    held = []
+                key = keys[lo].copy()
+                held.append([*(c[lo:hi] for c in columns[3:]), bands[lo:hi], sizes[lo:hi], elements[ends[lo] - sizes[lo] : ends[hi - 1]]])
+            # What goes on in the next batch must not keep this one.
+            held = [[c.copy() for c in part] for part in held]
+            yield _links(found)
+        if held:
+            yield _links(_forest(held, similarity))
+
+    return run
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _forest(parts: list[list[np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of labels that join all nodes of a cell that its links join; nodes already joined are not compared.
+
+    Nodes of two blocks meet in a cell of both, those of one block in its own.  A pair that shares several bands is checked in the first one.
+    """
+    block, band, n, label, bands, sizes, elements = parts[0] if len(parts) == 1 else (np.concatenate(c) for c in zip(*parts))
+    joined = label.copy()
+    if (joined == joined[0]).all():
+        return []
+    apart, starts, found = (block != block[0]).any(), np.cumsum(sizes) - sizes, []
+    distinct, codes = np.unique(elements, return_inverse=True)
+    mark = np.zeros(len(distinct), "bool")
+    for x in range(len(n) - 1):
+        ys = np.flatnonzero(joined[x + 1 :] != joined[x]) + x + 1
+        if apart:
+            ys = ys[block[ys] != block[x]]
+        # Sets whose sizes differ by more can't be that similar.
+        ys = ys[np.minimum(n[ys], n[x]) >= similarity * np.maximum(n[ys], n[x])]
+        ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == band[x]] if len(ys) else ys
+        if not len(ys):
+            continue
+        own = codes[starts[x] : starts[x] + sizes[x]]
+        mark[own] = True
+        before = np.cumsum(sizes[ys]) - sizes[ys]
+        theirs = codes[np.repeat(starts[ys] - before, sizes[ys]) + np.arange(sizes[ys].sum())]
+        common = np.add.reduceat(mark[theirs], before, dtype="int64")
+        mark[own] = False
+        for y in ys[common * (1 + similarity) >= similarity * (n[ys] + n[x]) - 1e-9].tolist():
+            if joined[y] != joined[x]:
+                found.append((int(label[x]), int(label[y])))
+                joined[joined == joined[y]] = joined[x]
+    return found
 
 
 def _linked_sets(a: str, b: str, both, similarity: float):

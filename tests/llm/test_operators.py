@@ -473,6 +473,33 @@ def test_near_duplicate_classes_by_brute_force(spark, docs, odd, by_count, cell,
     assert got == want
 
 
+@pytest.mark.parametrize("cell,elements,max_bytes", [(512, 1 << 19, 8 << 20), (64, 1 << 19, 1 << 16), (512, 5_000, 1 << 16)])
+def test_links_of_a_large_group_grow_with_its_nodes(spark, cell, elements, max_bytes, monkeypatch):
+    """Of a group of near copies, a bucket gives fewer links than nodes, and all of them fall into one class, however cells and batches are cut."""
+    n, links, bytes_of, between = 200, [], near_duplicates.byte_batches, near_duplicates._between_classes
+    for name, value in (("CELL", cell), ("CELL_ELEMENTS", elements), ("PIVOT_ROUNDS", 0), ("byte_batches", lambda s: bytes_of(s, max_bytes))):
+        monkeypatch.setattr(near_duplicates, name, value, raising=False)
+    monkeypatch.setattr(near_duplicates, "_between_classes", lambda *a: links.append(between(*a)) or links[-1])
+    text = lambda k, at: " ".join(f"w{i}" if i != at else f"k{k}" for i in range(200))
+    rows = [(k, text(k, 7 * k % 200)) for k in range(n)] + [(n + k, " ".join(f"{k}x{i}" for i in range(50))) for k in range(9)]
+    got = Counter(r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({0: n}) + Counter(range(n, n + 9))
+    assert n - 1 <= links[0].count() < 25 * n
+
+
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    ids = rng.integers(-(2**63), 2**63 - 1, 300)
+    edges = [(int(ids[x]), int(ids[y])) for x, y in [*rng.integers(0, 200, (120, 2)), *((i, i + 1) for i in range(200, 299))]]
+    df, found = spark.createDataFrame(edges, "a long, b long").repartition(3), []
+    for small in (1000, 0):
+        monkeypatch.setattr(near_duplicates, "SMALL", small, raising=False)
+        found.append({r.node: r.label for r in near_duplicates.connected(df).collect()})
+        assert near_duplicates.connected(df.limit(0)).count() == 0
+    assert found[0] == found[1] and all(found[0][a] == found[0][b] for a, b in edges)
+    assert all(found[0][x] == x <= n for n, x in found[0].items())
+
+
 def test_one_of_each_class_stays(odd, none):
     kept = near_duplicates.one_of_each(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "None", "3", "4", "5", "6", "8"])
