@@ -52,6 +52,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of a batch in what the pipeline's stages run: what executors and idle workers keep of buffers adds up from stage to stage.
+STAGE_BATCH = 1 << 20
+
+
 def byte_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     """Arrow batches end at so many bytes, not at a number of rows: long texts make small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

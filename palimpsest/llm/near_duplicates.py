@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, durable, narrow
+from .common import STAGE_BATCH, byte_batches, durable, narrow
 from .dart_minhash import mix, signature
 
 SHINGLE = 5
@@ -165,7 +165,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     table gives an empty one; further columns are ignored.
     """
     spark = docs.sparkSession
-    byte_batches(spark)
+    byte_batches(spark, STAGE_BATCH)
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = narrow(docs, doc_id=id_col, text=text_col)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, durable, narrow
+from .common import STAGE_BATCH, byte_batches, durable, narrow
 from .tokens import pieces
 
 CAPACITY = 2048
@@ -167,7 +167,7 @@ def pack(
     gives no pieces; further columns are ignored.
     """
     spark = docs.sparkSession
-    byte_batches(spark)
+    byte_batches(spark, STAGE_BATCH)
     rows = narrow(docs, doc_id=id_col, text=text_col)
     id_type = rows.schema["doc_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, {PIECE}, sequence_id long, offset long, left boolean"

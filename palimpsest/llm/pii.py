@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import byte_batches, narrow
+from .common import STAGE_BATCH, byte_batches, narrow
 from .pii_model import WINDOW, BiLstmCrf, encode, trained
 from .pii_rules import _LOCAL, KINDS, base_spans, is_card, luhn
 
@@ -201,7 +201,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text is empty and has no spans; null or repeated ids stay; an empty table gives an empty one; further columns are
     ignored.
     """
-    byte_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession, STAGE_BATCH)
     rows = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return rows.mapInArrow(_rows(trained()), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
@@ -219,7 +219,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with personal data masked in the text; a null text stays null; cases as of `personal_data`."""
-    byte_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession, STAGE_BATCH)
     model, at, names = trained(), docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import byte_batches, narrow
+from .common import STAGE_BATCH, byte_batches, narrow
 from .learning import Memory, give_back, held_out, sigmoid, training_sample
 
 #: Labelled texts learnt from, and their bytes, at most.
@@ -153,7 +153,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_tra
     no terms and gets the base rate; without labels all scores are alike; null or repeated
     ids stay; an empty table gives an empty one; further columns are ignored.
     """
-    byte_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession, STAGE_BATCH)
     fm = train(*training_sample(docs, labels, "toxic", max_train, MAX_BYTES))
     rows = narrow(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scored = rows.mapInArrow(_score(fm), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -162,7 +162,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_tra
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows and all columns of ``docs`` whose text scores under ``threshold``, in one scan; training and cases as of `toxicity`."""
-    byte_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession, STAGE_BATCH)
     names = docs.columns
     at, score = names.index("text"), _scorer(train(*training_sample(docs, labels, "toxic", max_train, MAX_BYTES)))
 

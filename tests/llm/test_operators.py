@@ -257,6 +257,16 @@ def test_segments_have_the_librarys_tokens(docs, monkeypatch):
     assert [len(c) for c in calls] == [2, 1, 2] and sum(calls, []) == ["a" * n for n in (10, 20, 900, 30, 5)]
 
 
+def test_ids_are_remembered_for_a_quarter_as_many_segments(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    text, library = " ".join(f"w{i}x" for i in range(900)), Tokenizer.from_file(PATH)
+    ids, counts = Pieces(PATH, False), Pieces(PATH, True)
+    for _ in range(2):
+        assert np.frombuffer(ids.of_all([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        counts.of_all([text])
+    assert len(ids.known) == 100 and len(counts.known) == 400
+
+
 def test_token_counts(odd, none):
     library = Tokenizer.from_file(PATH)
     got = Counter(tuple(r) for r in token_counts.token_counts(odd, PATH).collect())
@@ -477,7 +487,7 @@ def test_near_duplicate_classes_by_brute_force(spark, docs, odd, by_count, cell,
 def test_links_of_a_large_group_grow_with_its_nodes(spark, cell, elements, max_bytes, monkeypatch):
     """Of a group of near copies, a bucket gives fewer links than nodes, and all of them fall into one class, however cells and batches are cut."""
     n, links, bytes_of, between = 200, [], near_duplicates.byte_batches, near_duplicates._between_classes
-    for name, value in (("CELL", cell), ("CELL_ELEMENTS", elements), ("PIVOT_ROUNDS", 0), ("byte_batches", lambda s: bytes_of(s, max_bytes))):
+    for name, value in (("CELL", cell), ("CELL_ELEMENTS", elements), ("PIVOT_ROUNDS", 0), ("byte_batches", lambda s, *_: bytes_of(s, max_bytes))):
         monkeypatch.setattr(near_duplicates, name, value, raising=False)
     monkeypatch.setattr(near_duplicates, "_between_classes", lambda *a: links.append(between(*a)) or links[-1])
     text = lambda k, at: " ".join(f"w{i}" if i != at else f"k{k}" for i in range(200))
