@@ -89,13 +89,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return out + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def _pack_documents(path: str, capacity: int, open_bins: int, end_id: int, id_type: pa.DataType):
+def _pack_documents(path: str, share: int, capacity: int, open_bins: int, end_id: int, id_type: pa.DataType):
     """Tokens, pieces and bins of one partition; the text of no other is needed.  ``left``: to be packed again."""
     end = end_id.to_bytes(4, "little")
     schema = pa.schema([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, base = pieces(path, False), TaskContext.get().partitionId() << 32
+        memory, base = pieces(path, False, share), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         made = [0]
 
@@ -154,7 +154,8 @@ def _pack_group(capacity: int, open_bins: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0,
+    share: int = 1,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document goes.
 
@@ -163,18 +164,20 @@ def pack(
     bins that stay open to the end, which are dealt into groups of about `GROUP_PIECES` and packed once more, longest first.
     The first pass is written to the shared folder, so a lost executor can't make the two passes disagree.
 
+    With a ``share`` over 1, batches are small and workers remember one in so many segments: less memory, more time.
+
     A null or empty text is one piece, of the end id only; null or repeated ids stay, each row is a document; an empty table
     gives no pieces; further columns are ignored.
     """
     spark = docs.sparkSession
-    byte_batches(spark, STAGE_BATCH)
+    byte_batches(spark, STAGE_BATCH) if share > 1 else byte_batches(spark)
     rows = narrow(docs, doc_id=id_col, text=text_col)
     id_type = rows.schema["doc_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, {PIECE}, sequence_id long, offset long, left boolean"
     from pyspark.sql.pandas.types import to_arrow_type
 
     first = durable(
-        rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack_documents(tokenizer_path, capacity, open_bins, end_id, to_arrow_type(id_type)), schema), "packed"
+        rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack_documents(tokenizer_path, share, capacity, open_bins, end_id, to_arrow_type(id_type)), schema), "packed"
     )
     left = first.filter("left")
     groups = max(1, -(-left.count() // GROUP_PIECES))

@@ -19,7 +19,7 @@ from functools import lru_cache
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: For these characters the pre-tokenizers of both libraries can't differ; all else goes to `tokenizers`.
 PLAIN = re.compile(r"[ \n]?[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-#: Segments remembered by a worker, with their numbers of ids: about 150 MB.  With their ids, a quarter as many, as a worker of the pipeline keeps them beyond packing.
+#: Segments remembered by a worker: about 150 MB.
 REMEMBERED = 600_000
 SEGMENT = 1 << 18
 #: Marks the first segment of a text; no other one has two line feeds.
@@ -72,7 +72,9 @@ def _same_ids(path: str):
 class Pieces:
     """What the ids of texts give: their bytes (4 each, little-endian), or their number."""
 
-    def __init__(self, path: str, count: bool):
+    def __init__(self, path: str, count: bool, share: int = 1):
+        """``share``: one in so many of `REMEMBERED` segments is remembered."""
+        self.share = share
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +101,7 @@ class Pieces:
         out: dict[str, int | bytes | None] = dict.fromkeys(keys)
         out.update(zip(safe, self.encoded(rest[k] if k[:2] == FIRST else k if k[0] == "\n" else " " + k for k in safe), strict=True))
         for k in keys:
-            if len(self.known) >= (REMEMBERED if self.count else REMEMBERED // 4):
+            if len(self.known) >= REMEMBERED // self.share:
                 break
             if len(k) < 48:
                 self.known[k] = out[k]
@@ -129,6 +131,6 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str, count: bool) -> Pieces:
+def pieces(path: str, count: bool, share: int = 1) -> Pieces:
     """One memory for all tasks of a Python worker."""
-    return Pieces(path, count)
+    return Pieces(path, count, share)

@@ -257,10 +257,10 @@ def test_segments_have_the_librarys_tokens(docs, monkeypatch):
     assert [len(c) for c in calls] == [2, 1, 2] and sum(calls, []) == ["a" * n for n in (10, 20, 900, 30, 5)]
 
 
-def test_ids_are_remembered_for_a_quarter_as_many_segments(monkeypatch):
+def test_a_share_of_segments_is_remembered(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 400)
     text, library = " ".join(f"w{i}x" for i in range(900)), Tokenizer.from_file(PATH)
-    ids, counts = Pieces(PATH, False), Pieces(PATH, True)
+    ids, counts = Pieces(PATH, False, 4), Pieces(PATH, True)
     for _ in range(2):
         assert np.frombuffer(ids.of_all([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
         counts.of_all([text])
