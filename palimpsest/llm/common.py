@@ -61,6 +61,18 @@ def byte_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
+#: Rows without texts that are worth a file.
+FILE_ROWS = 100_000
+
+
+def in_few_files(df: DataFrame, parts: int = 1) -> DataFrame:
+    """``df`` in a partition for each core, or in ``parts`` if those are more, and so in no more files, however many partitions a shuffle has.
+
+    Where files are local and Hadoop has no native library, each file costs three processes (chmod of it, of its checksum file and of a folder).
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, parts))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, whatever the optimizer merges."""
     return F.transform(F.array(value), body)[0]

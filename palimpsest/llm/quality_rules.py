@@ -76,7 +76,9 @@ def line_frequency(
     hashes = F.transform(lines_with_words(F.col("text")), lambda x: F.xxhash64(normalised(x)))
     # Beside its lines, each document has a null: how many documents the host has comes out of the same pass.
     seen = keyed.select("host", "k1", F.explode(F.concat(F.array_distinct(hashes), F.array(F.lit(None).cast("long")))).alias("line"))
-    counted = durable(seen.groupBy("host", "line").agg(F.countDistinct("k1").alias("n")).filter((F.col("n") > max_docs) | F.col("line").isNull()), "lines")
+    counted = seen.groupBy("host", "line").agg(F.countDistinct("k1").alias("n")).filter((F.col("n") > max_docs) | F.col("line").isNull())
+    # Few rows are left: they are dealt out anew, so that all tasks count and few write.
+    counted = durable(counted.repartition(docs.sparkSession.sparkContext.defaultParallelism), "lines")
     hosts = counted.filter("line IS NULL").select("host", F.col("n").alias("all"))
     frequent = counted.filter("line IS NOT NULL").join(hosts, "host").filter(1000 * F.col("n") > max_share * F.col("all")).select("host", "line")
     if frequent.count() <= BROADCAST_ROWS:

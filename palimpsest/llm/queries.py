@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lm_scoring, mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, token_counts, topk, toxicity
+from .common import FILE_ROWS, in_few_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.line_frequency(table(spark, sf_dir, "documents"))
-    return out.drop("clean_text")
+    docs = table(spark, sf_dir, "documents")
+    return in_few_files(quality_rules.line_frequency(docs).drop("clean_text"), docs.count() // FILE_ROWS)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

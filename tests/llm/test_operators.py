@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from palimpsest.llm import mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, token_counts, tokens, topk, toxicity
+from palimpsest.llm import mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, queries, token_counts, tokens, topk, toxicity
 from palimpsest.llm.dart_minhash import signature
 from palimpsest.llm.tokens import Pieces, safe_segments
 
@@ -85,6 +85,27 @@ def test_quality_rules_by_brute_force(spark, docs, odd, none):
     assert quality_rules.line_frequency(none).count() == 0
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles have 40 partitions, whatever they hold."""
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_quality_rules_write_few_files(spark, many_partitions, monkeypatch, tmp_path):
+    # A file costs processes of its own (chmod) where files are local, so partitions of a few rows must not be files.
+    monkeypatch.setattr(quality_rules, "durable", lambda df, name: df.write.parquet(f"file://{tmp_path}/{name}") or spark.read.parquet(f"file://{tmp_path}/{name}"))
+    cores = spark.sparkContext.defaultParallelism
+    out = queries.QUERIES["op1_quality_rules"](spark, SF)
+    assert out.rdd.getNumPartitions() <= cores and out.count() == 200
+    assert 0 < len(list(tmp_path.glob("lines/*.parquet"))) <= cores
+
+
 # 2
 
 
