@@ -68,6 +68,7 @@ FILE_ROWS = 100_000
 def in_few_files(df: DataFrame, parts: int = 1) -> DataFrame:
     """``df`` in a partition for each core, or in ``parts`` if those are more, and so in no more files, however many partitions a shuffle has.
 
+    For what comes out of a shuffle: of scans and Python functions, a task keeps the buffers of all its partitions until it ends.
     Where files are local and Hadoop has no native library, each file costs three processes (chmod of it, of its checksum file and of a folder).
     """
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, parts))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, durable, narrow, release
+from .common import FILE_ROWS, byte_batches, durable, narrow, release
 from .dart_minhash import mix
 
 #: Folds by crc32 of the id: 0 is held out, 1 is deleted (for the weights), the rest and 1 give the counts.
@@ -346,7 +346,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind, id_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = rows.select("doc_id", fold_of(F.col("doc_id")).cast("int").alias("fold"), text.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-size // SHARD_BYTES))
 
     texts = durable(rows.mapInArrow(_blocks(id_type), f"block long, deleted boolean, blob binary, ids array<{kind}>, folds array<int>"), "texts")
@@ -365,4 +365,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     release(spark)
 
     scored = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(weights, n, v, id_type), f"doc_id {kind}, fold int, n_tokens long, n_known long, base_score double, score double")
+    # Rows are short: dealt out anew, they make few files, and the tasks that score stay as many as they are.
+    scored = scored.repartition(max(spark.sparkContext.defaultParallelism, n_rows // FILE_ROWS))
     return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

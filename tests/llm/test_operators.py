@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from palimpsest.llm import mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, queries, token_counts, tokens, topk, toxicity
+from palimpsest.llm import lm_scoring, mixing, near_duplicates, packing, pii, pii_rules, quality_classifier, quality_rules, queries, token_counts, tokens, topk, toxicity
 from palimpsest.llm.dart_minhash import signature
 from palimpsest.llm.tokens import Pieces, safe_segments
 
@@ -565,3 +565,12 @@ def test_all_of_a_long_word_counts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
     got = quality_classifier.quality(docs, labels, threshold=0.5).filter("held_out").collect()
     assert sum(r.predicted == r.doc_id % 2 for r in got) > 0.95 * len(got)
+
+
+def test_lm_scoring_writes_few_files(spark, many_partitions, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(12)
+    cores = spark.sparkContext.defaultParallelism
+    out = lm_scoring.score(docs)
+    assert out.rdd.getNumPartitions() <= cores and out.count() == docs.count()
+    monkeypatch.setattr(lm_scoring, "FILE_ROWS", 20)
+    assert lm_scoring.score(docs).rdd.getNumPartitions() == docs.count() // 20
