@@ -61,14 +61,18 @@ def history(log: DataFrame, pk: Sequence[str]) -> DataFrame:
 
 
 def rewind(log: DataFrame, pk: Sequence[str], csn: int, new_csn: int) -> DataFrame:
-    """The changes that bring the state before ``csn`` back as commit ``new_csn``: only keys touched since are among them."""
+    """The changes that bring the state before ``csn`` back as commit ``new_csn``: only keys touched since are among them.
+
+    The join is no semi join, as Spark pushes those below a log's unions and then, where they are sort-merge joins, takes the union for dealt
+    by key and fails ("Can't zip RDDs with unequal numbers of partitions").
+    """
     touched = log.filter(F.col("_csn") >= csn).select(*pk).distinct()
-    before = latest(log.filter(F.col("_csn") < csn).join(touched, list(pk), "left_semi"), pk)
     names = payload(log)
-    back = before.select(*names).withColumn("_op", F.lit("U"))
-    gone = touched.join(before.select(*pk), list(pk), "left_anti")
-    gone = gone.select(*[F.col(c) if c in pk else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in names], F.lit("D").alias("_op"))
-    return back.unionByName(gone).withColumn("_csn", F.lit(new_csn).cast("long")).withColumn("_cid", F.lit(0))
+    old = F.col("_csn") < csn
+    last = log.join(touched, list(pk)).groupBy(*pk).agg(F.max_by(F.struct("_op", *[c for c in names if c not in pk]), F.when(old, place())).alias("_v"))
+    there = F.coalesce(F.col("_v._op") != "D", F.lit(False))
+    rows = [F.col(c) if c in pk else F.when(there, F.col(f"_v.{c}")).alias(c) for c in names]
+    return last.select(*rows, F.when(there, "U").otherwise("D").alias("_op"), F.lit(new_csn).cast("long").alias("_csn"), F.lit(0).alias("_cid"))
 
 
 def horizon(log: DataFrame, pk: Sequence[str], oldest: int) -> DataFrame:

@@ -1,7 +1,10 @@
 """Tables on disk, changes, constraints, ranges and streams."""
 
+from functools import reduce
+
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ranges
@@ -10,6 +13,7 @@ from palimpsest.model import ColumnDef, ForeignKey, IndexDef, KeyPart, TableDef
 from palimpsest.operators import access, constraints, dml, introspect, versions
 from palimpsest.operators.joins import asof_join, range_join
 from palimpsest.plans.keyrange import all_array, any_array, row_compare
+from palimpsest.queries import QUERIES
 from palimpsest.sources.commitlog import ConflictError, RetentionError, VersionedTable
 from palimpsest.streaming import cdc
 
@@ -73,6 +77,27 @@ def test_rewind_and_retention(items):
         items.rewind(1)
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_rewind_of_a_log_that_is_a_union(spark, broadcast):
+    """1 stays, 2 changed, 3 went, 4 came, 5 went before, 6 came back, 7 changed twice before; also where all joins are sort-merge joins."""
+    columns = "k long, v int, _op string, _csn long, _cid int, _ts long"
+    parts = [
+        [(k, k, "I", 1, 0, 1) for k in (1, 2, 3, 5, 6, 7)], [(7, 71, "U", 2, 0, 2), (7, 72, "U", 2, 1, 2), (5, 5, "D", 2, 0, 2), (6, 6, "D", 2, 0, 2)],
+        [(2, 20, "U", 3, 0, 3), (3, 3, "D", 3, 0, 3), (7, 73, "U", 3, 0, 3)], [(4, 4, "I", 4, 0, 4), (6, 60, "I", 4, 0, 4)],
+    ]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        log = reduce(DataFrame.union, [spark.createDataFrame(p, columns) for p in parts])
+        back = versions.rewind(log, ["k"], 3, 5)
+        assert back.columns == ["k", "v", "_op", "_csn", "_cid"]
+        assert ids(back) == [(2, 2, "U", 5, 0), (3, 3, "U", 5, 0), (4, None, "D", 5, 0), (6, None, "D", 5, 0), (7, 72, "U", 5, 0)]
+        assert ids(versions.snapshot(log.unionByName(back.withColumn("_ts", F.lit(5))), ["k"], 6)) == ids(versions.snapshot(log, ["k"], 3)) == [(1, 1), (2, 2), (3, 3), (7, 72)]
+        assert QUERIES["rewind_to_csn"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_added_column_reads_its_missing_value(spark, items):
     items.alter(lambda t: t.add_column(ColumnDef("n", "int", missing=5)))
     rows = spark.createDataFrame([(9, 1, "x", None)], items.table.schema())
