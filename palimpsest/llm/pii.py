@@ -184,27 +184,28 @@ def _rows(model: BiLstmCrf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = find_spans(model, batch.column(1).to_pylist())
-            counts = [pa.array([sum(s[0] == k for s in spans) for _, spans in both], pa.int64()) for k in range(len(KINDS))]
+            of_base, of_all = ([pa.array([sum(s[0] == k for s in x[i]) for x in both], pa.int64()) for k in range(len(KINDS))] for i in (0, 1))
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in both])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([joined(s) for _, s in both], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            spans = pa.array([joined(s) for _, s in both], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *of_all, digest, spans, *of_base], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"base_{k}" for k in KINDS)])
 
     return run
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per row of ``docs``, in one scan.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_email, base_ip, base_card, base_phone): one row per row of ``docs``, in one scan.
 
     Spans by pattern always stay (`pii_rules`).  The model reads overlapping windows that hold every digit run and sign for "at" of the
     whole text, since no kind is without one; what a text gives does not depend on the texts it is read with; an address cut by a window is grown to its ends; what is found is checked for its kind and reconciled over the text
-    (`reconcile`).  Counts are of all spans; places are code points, ends exclusive.
+    (`reconcile`).  Counts n_* are of all spans, base_* of those by pattern; places are code points, ends exclusive.
 
     A null text is empty and has no spans; null or repeated ids stay; an empty table gives an empty one; further columns are
     ignored.
     """
     byte_batches(docs.sparkSession, STAGE_BATCH)
     rows = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(_rows(trained()), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
+    of_all, of_base = (", ".join(f"{x}_{k} long" for k in KINDS) for x in ("n", "base"))
+    return rows.mapInArrow(_rows(trained()), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {of_all}, base_sha256 string, spans string, {of_base}")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:

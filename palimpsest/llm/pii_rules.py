@@ -44,7 +44,8 @@ def ips(text: str) -> list[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            # int() refuses more than 4300 digits, zeros before the number included.
+            if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in four):
                 out.append((at, end))
             at = end + 1
     return out

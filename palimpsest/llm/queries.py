@@ -37,7 +37,9 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    """Counts n_* are of the base spans, as the digest; all_* are of all spans."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.col(f"base_{k}").alias(f"n_{k}") for k in pii.KINDS], "base_sha256", "spans", *[F.col(f"n_{k}").alias(f"all_{k}") for k in pii.KINDS])
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,23 @@ def test_digests_and_spans_over_documents_by_brute_force(docs):
         assert [mine[f"n_{k}"] for k in kinds] == [sum(x.startswith(k) for x in spans) for k in kinds]
 
 
+def test_counts_of_the_query_are_of_base_spans(spark, tmp_path):
+    """Over texts to which the model adds spans, beside base ones, none, and a number of more digits than int() takes."""
+    kinds, zeros = ("email", "ip", "card", "phone"), "0" * 5000 + ".1.2.3"
+    texts = [before + span + after for before, _, span, after in WRITTEN]
+    texts += [t + " a.b@mail.example.com 10.0.0.1 4465758382889437 +1 (555) 123-4567" for t in texts] + [*CLEAN, "", None]
+    spark.createDataFrame(list(enumerate([*texts, zeros])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_personal_data(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + 1 and rows[0].__fields__[:7] == ["doc_id", *(f"n_{k}" for k in kinds), "base_sha256", "spans"]
+    for i, t in [*enumerate(texts), (len(texts), zeros)]:
+        base = [(1, 0, len(zeros))] if t is zeros else brute_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in kinds] == [sum(b[0] == k for b in base) for k in range(4)], t
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert [got[i][f"all_{k}"] for k in kinds] == [got[i].spans.count(f"{k}:") for k in kinds]
+    assert sum(got[i].spans.count(":") // 2 for i in got) > sum(got[i][f"n_{k}"] for i in got for k in kinds)
+
+
 def test_reconcile_is_the_best_set_without_overlap():
     found = {(0, 0, 5): 4.0, (1, 4, 9): 5.0, (2, 9, 12): 1.0, (3, 6, 8): 3.0, (3, 20, 30): 2.0}
     assert pii.reconcile([(3, 25, 28)], found) == [(0, 0, 5), (2, 9, 12), (3, 6, 8)]
